@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sources", "profiling", "anomalies", "quality", "classes", "relations",
+MODULES = ["sources", "profiling", "anomalies", "quality", "relations",
            "partitions", "business", "advice", "findings"]
 
 
