@@ -31,8 +31,9 @@ def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double")) * 100
 
 
-def count_true(condition: Column) -> Column:
-    return F.count_if(F.coalesce(condition, F.lit(False)))
+def fixed(value: Column, places: int = 1) -> Column:
+    """Number as text with fixed decimals; exact halves go to the even digit."""
+    return F.format_string(f"%.{places}f", F.bround(value.cast("double"), places))
 
 
 def ordered_names(flag: Column, name: str = "column_name", order: str = "ordinal") -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakegauge.functions import vocab
-from lakegauge.functions.exprs import contains_any, first_rule, ordered_names
+from lakegauge.functions.exprs import contains_any, first_rule, fixed, ordered_names
 
 NUMERIC_TYPES = r"^(tinyint|smallint|int|bigint|float|double|decimal.*)$"
 
@@ -170,7 +170,7 @@ def comment_coverage(catalog: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("columns"), F.count_if(_commented()).alias("columns_with_comments"))
     exact = F.col("columns_with_comments") / F.col("columns") * 100
     return (t.withColumn("columns_without_comments", F.col("columns") - F.col("columns_with_comments"))
-            .withColumn("comment_coverage_percentage", F.round(exact, 1))
+            .withColumn("comment_coverage_percentage", F.bround(exact, 1))
             .withColumn("level", F.when(exact > 70, "well").when(exact > 30, "partial").otherwise("poor")))
 
 
@@ -246,8 +246,10 @@ def business_context(catalog: DataFrame, comments: DataFrame, references: DataFr
 
 def size_label(size: Column) -> Column:
     """Byte count as B, KB, MB, GB, TB or PB with one decimal; 0 and NULL are unknown."""
-    label = F.format_string("%.1f " + vocab.SIZE_UNITS[-1], size / F.lit(1024.0 ** 5))
+    def text(power):
+        return F.concat(fixed(size / F.lit(1024.0 ** power)), F.lit(" " + vocab.SIZE_UNITS[power]))
+
+    label = text(5)
     for power in range(4, -1, -1):
-        label = F.when(size < 1024 ** (power + 1),
-                       F.format_string("%.1f " + vocab.SIZE_UNITS[power], size / F.lit(1024.0 ** power))).otherwise(label)
+        label = F.when(size < 1024 ** (power + 1), text(power)).otherwise(label)
     return F.when(size.isNull() | (size == 0), "unknown").otherwise(label)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lakegauge.functions import vocab
-from lakegauge.functions.exprs import KEYS, contains_any, fields_of, is_text, ordered_names, percent, quoted
+from lakegauge.functions.exprs import KEYS, contains_any, fields_of, fixed, is_text, ordered_names, percent, quoted
 from lakegauge.operators.values import cells
 
 
@@ -34,7 +34,7 @@ def text_quality_issues(quality: DataFrame, null_limit: float = 50, empty_limit:
         value = share(part)
         return F.when(value > limit, F.struct(
             F.lit(name).alias("issue"), value.alias("percentage"), part.alias("affected"),
-            F.concat(F.col("column_name"), F.lit(" has "), F.format_string("%.1f", value), F.lit("% " + words))
+            F.concat(F.col("column_name"), F.lit(" has "), fixed(value), F.lit("% " + words))
             .alias("description")))
 
     found = F.array_compact(F.array(
@@ -89,9 +89,9 @@ def column_issues(stats: DataFrame, lengths: DataFrame, non_integer: DataFrame |
                     F.coalesce(F.col("std_length") > F.col("avg_length") * spread, F.lit(False))))
     flags = ["high_null", "key_duplicates", "non_integer", "inconsistent_length"]
     texts = F.array_compact(F.array(
-        F.when(F.col("high_null"), F.format_string("High null percentage: %.1f%%", "null_percentage")),
+        F.when(F.col("high_null"), F.concat(F.lit("High null percentage: "), fixed(F.col("null_percentage")), F.lit("%"))),
         F.when(F.col("key_duplicates"),
-               F.format_string("High duplicate percentage in key column: %.1f%%", "duplicate_percentage")),
+               F.concat(F.lit("High duplicate percentage in key column: "), fixed(F.col("duplicate_percentage")), F.lit("%"))),
         F.when(F.col("non_integer"), F.format_string("Non-numeric values in integer column: %d", "non_integer_count")),
         F.when(F.col("inconsistent_length"), F.lit("Inconsistent string length formatting"))))
     penalty = F.least(F.col("null_percentage") / 100 * 0.5, F.lit(0.3))
@@ -141,12 +141,12 @@ def table_digest(profile: DataFrame, null_limit: float = 30, trend_limit: float
     numeric = F.array_sort(F.collect_list(F.when(F.col("mean").isNotNull(), F.struct(
         "ordinal", "column_name", "mean", "std_dev"))))
     text = F.transform(F.slice(numeric, 1, 3), lambda s: F.concat(
-        s["column_name"], F.lit(" (mean="), F.format_string("%.2f", s["mean"]),
-        F.lit(", std="), F.format_string("%.2f", F.coalesce(s["std_dev"], F.lit(0.0))), F.lit(")")))
+        s["column_name"], F.lit(" (mean="), fixed(s["mean"], 2),
+        F.lit(", std="), fixed(F.coalesce(s["std_dev"], F.lit(0.0)), 2), F.lit(")")))
     high = F.array_sort(F.collect_list(F.when(F.col("null_percentage") > null_limit, F.struct(
         "ordinal", "column_name", "null_percentage"))))
     high_text = F.transform(F.slice(high, 1, 5), lambda s: F.concat(
-        s["column_name"], F.lit(" ("), F.format_string("%.1f", s["null_percentage"]), F.lit("%)")))
+        s["column_name"], F.lit(" ("), fixed(s["null_percentage"]), F.lit("%)")))
     return profile.groupBy("table_name").agg(
         F.max("total_count").alias("total_rows"), F.count(F.lit(1)).alias("total_columns"),
         F.avg(1 - F.col("null_percentage") / 100).alias("completeness_score"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lakegauge.functions.exprs import clean, fields_of, is_numeric, quoted
+from lakegauge.functions.exprs import clean, fields_of, fixed, is_numeric, quoted
 
 
 def period_metrics(df: DataFrame, period: str, metrics=None, start=None, end=None,
@@ -91,7 +91,7 @@ def stories(spike_rows: DataFrame, trend_rows: DataFrame) -> DataFrame:
     word = F.when(F.col("trend") == "up", "increase").otherwise("decrease")
     moved = trend_rows.where("trend <> 'steady'").select(*SERIES, F.lit("trend").alias("kind"), F.concat(
         F.initcap("trend"), F.lit("ward trend: "), name, F.lit(" shows a "),
-        F.format_string("%.1f", F.abs(F.col("change_percentage"))), F.lit("% "), word,
+        fixed(F.abs(F.col("change_percentage"))), F.lit("% "), word,
         F.lit(" over the analyzed period")).alias("story"))
     told = top.unionByName(moved)
     calm = (told.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(

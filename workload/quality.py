@@ -153,9 +153,9 @@ PROFILE_SQL = f"with p as ({CUSTOMER_SQL}), a as (" + union_all(
   non_null_count > 0 and (unique_percentage > 95 or {tokens_sql('lower(column_name)', vocab.KEY_TOKENS)}) as potential_key from a),
  c as (select *, case when non_null_count = 0 then null when potential_pii then 'sensitive' when potential_key then 'identifier'
   when {tokens_sql('lower(column_name)', vocab.FINANCIAL_TOKENS)} then 'financial' when {tokens_sql('lower(column_name)', vocab.TEMPORAL_TOKENS)} then 'temporal' else 'general' end as data_classification,
-  greatest(0.0, least(1.0, 1.0 - case when null_percentage > 50 then 0.3 when null_percentage > 20 then 0.1 else 0 end
-  - case when potential_key and unique_percentage < 95 then 0.2 else 0 end - case when format_consistency < 0.8 then 0.1 else 0 end
-  - case when anomaly_count * 100.0 / total_count > 10 then 0.2 when anomaly_count * 100.0 / total_count > 5 then 0.1 else 0 end)) as quality_score from b)"""
+  greatest(0e0, least(1e0, 1e0 - case when null_percentage > 50 then 0.3e0 when null_percentage > 20 then 0.1e0 else 0e0 end
+  - case when potential_key and unique_percentage < 95 then 0.2e0 else 0e0 end - case when format_consistency < 0.8 then 0.1e0 else 0e0 end
+  - case when anomaly_count * 1e2 / total_count > 10 then 0.2e0 when anomaly_count * 1e2 / total_count > 5 then 0.1e0 else 0e0 end)) as quality_score from b)"""
 FLAT = ["mean", "std_dev", "q1", "q2", "q3", "avg_length", "format_consistency", "null_percentage", "unique_percentage", "quality_score"]
 EXACT = ["table_name", "column_name", "total_count", "null_count", "unique_count", "potential_pii", "potential_key", "data_classification"]
 
