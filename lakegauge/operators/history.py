@@ -1,8 +1,8 @@
 """History tables: type-2 dimensions, state changes, extracted dimensions.
 
-Windows run per key.  A key that holds a large share of all rows would make one
-task sort them all, so change detection first cuts the history of every key into
-time slices and works per slice; only the edges of slices meet per key.
+A window per key would let one task sort the whole history of a hot key.  Here
+every history is cut into time slices (days): windows run per (key, slice), and
+only one edge row per key and slice meets per key.
 """
 
 from __future__ import annotations
@@ -12,59 +12,62 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lakegauge.functions.exprs import quoted
 
 
-def _ordered(key: str, order: list[str]):
-    return Window.partitionBy(key).orderBy(*order)
+def _slices(df: DataFrame, order: list[str], slice_by: Column | None) -> DataFrame:
+    return df.withColumn("_slice", F.to_date(quoted(order[0])) if slice_by is None else slice_by)
+
+
+def _neighbour(df: DataFrame, key: str, order: list[str], value: Column, name: str, ahead: bool = False) -> DataFrame:
+    """Add ``name``: a struct with the value of the previous (or next) row of the key,
+    NULL at the end of the history.  ``df`` has the column ``_slice``."""
+    boxed = F.struct(value.alias("v"))
+    inside = Window.partitionBy(key, "_slice").orderBy(*order)
+    slices = Window.partitionBy(key).orderBy("_slice")
+    at = F.struct(*[quoted(o) for o in order])
+    shift = F.lead if ahead else F.lag
+    pick = F.min_by if ahead else F.max_by
+    edge = (df.groupBy(key, "_slice").agg(pick(boxed, at).alias("_edge"))
+            .select(key, "_slice", shift("_edge").over(slices).alias("_across")))
+    return (df.withColumn("_near", shift(boxed).over(inside)).join(edge, [key, "_slice"])
+            .withColumn(name, F.coalesce("_near", "_across")).drop("_near", "_across"))
 
 
 def changes(df: DataFrame, key: str, order: list[str], attribute: str, slice_by: Column | None = None) -> DataFrame:
     """Rows where the attribute of a key differs from its previous row (the first
     row counts as a change), with the previous state.
 
-    ``slice_by`` is a non-decreasing function of the order (by default the day of
-    the first order column).  Inside a slice the previous row is found by a window
-    over (key, slice); the first row of a slice takes the last state of the key's
-    preceding slice, and there is one such row per key and slice.
+    ``order`` must be unique per key.  ``slice_by`` is a non-decreasing function of
+    the order, by default the day of its first column.
     """
-    day = F.to_date(quoted(order[0])) if slice_by is None else slice_by
-    rows = df.withColumn("_slice", day)
-    inside = Window.partitionBy(key, "_slice").orderBy(*order)
     a = quoted(attribute)
-    marked = (rows.withColumn("_first", F.row_number().over(inside) == 1)
-              .withColumn("_before", F.lag(F.struct(a.alias("v"))).over(inside)))
-    edges = (rows.groupBy(key, "_slice")
-             .agg(F.max_by(F.struct(a.alias("v")), F.struct(*order)).alias("_last"))
-             .withColumn("_carried", F.lag("_last").over(Window.partitionBy(key).orderBy("_slice")))
-             .select(F.col(key), "_slice", "_carried"))
-    joined = marked.join(edges, [key, "_slice"])
-    before = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))
-    joined = joined.withColumn("_previous", before)
+    near = _neighbour(_slices(df, order, slice_by), key, order, a, "_previous")
     changed = F.col("_previous").isNull() | ~F.col("_previous.v").eqNullSafe(a)
-    return (joined.where(changed).withColumn("previous_state", F.col("_previous.v"))
-            .drop("_slice", "_first", "_before", "_carried", "_previous"))
+    return near.where(changed).withColumn("previous_state", F.col("_previous.v")).drop("_previous")
 
 
-def type2_dimension(df: DataFrame, key: str, order: list[str], attribute: str) -> DataFrame:
-    """One row per key and run of equal states with effective and expiry time and a
-    current flag; only changes are ordered per key."""
-    w = _ordered(key, order)
+def type2_dimension(df: DataFrame, key: str, order: list[str], attribute: str,
+                    slice_by: Column | None = None) -> DataFrame:
+    """One row per key and run of equal states: effective and expiry time, version
+    and current flag."""
     effective = quoted(order[0])
-    kept = changes(df, key, order, attribute)
-    return kept.select(
+    kept = _neighbour(changes(df, key, order, attribute, slice_by), key, order, effective, "_next", ahead=True)
+    before = (kept.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+              .select(key, "_slice", F.coalesce(F.sum("_n").over(
+                  Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n")))
+    inside = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*order))
+    return (kept.withColumn("_i", inside).join(before, [key, "_slice"]).select(
         F.col(key), quoted(attribute).alias("state"), effective.alias("effective_at"),
-        F.lead(effective).over(w).alias("expires_at"),
-        F.row_number().over(w).alias("version"),
-        F.lead(effective).over(w).isNull().alias("is_current"))
+        F.col("_next.v").alias("expires_at"), (F.col("_n") + F.col("_i")).alias("version"),
+        F.col("_next").isNull().alias("is_current")))
 
 
-def state_changes(df: DataFrame, key: str, order: list[str], attribute: str) -> DataFrame:
+def state_changes(df: DataFrame, key: str, order: list[str], attribute: str,
+                  slice_by: Column | None = None) -> DataFrame:
     """One row per state change: from, to, when, and whole days in the earlier state."""
-    w = _ordered(key, order)
     at = quoted(order[0])
-    return (changes(df, key, order, attribute)
-            .withColumn("since", F.lag(at).over(w))
-            .where(F.col("since").isNotNull())
+    return (_neighbour(changes(df, key, order, attribute, slice_by), key, order, at, "_since")
+            .where(F.col("_since").isNotNull())
             .select(F.col(key), "previous_state", quoted(attribute).alias("state"), at.alias("changed_at"),
-                    F.timestamp_diff("DAY", F.col("since"), at).alias("duration_days")))
+                    F.timestamp_diff("DAY", F.col("_since.v"), at).alias("duration_days")))
 
 
 def extract_dimension(df: DataFrame, key: str, order: list[str], attributes: list[str]) -> DataFrame:

@@ -88,7 +88,7 @@ CHANGE_SQL = """with c as (select *, lag(event_type) over (partition by user_id
 QUERIES["i10_scd2"] = lambda s, d: hi.type2_dimension(table(s, d, "events"), "user_id", ORDER, "event_type").withColumn(
     "effective_at", F.col("effective_at").cast("string")).withColumn("expires_at", F.col("expires_at").cast("string"))
 ORACLES["i10_scd2"] = CHANGE_SQL + """ select user_id, event_type as state, cast(ts as varchar) as effective_at,
- cast(lead(ts) over w as varchar) as expires_at, cast(row_number() over w as integer) as version, lead(ts) over w is null as is_current from k window w as (partition by user_id order by ts, event_id)"""
+ cast(lead(ts) over w as varchar) as expires_at, row_number() over w as version, lead(ts) over w is null as is_current from k window w as (partition by user_id order by ts, event_id)"""
 QUERIES["i11_dimension_extract"] = lambda s, d: hi.extract_dimension(table(s, d, "events"), "user_id", ORDER, ["event_type", "value"]).withColumn(
     "first_seen", F.col("first_seen").cast("string")).withColumn("last_seen", F.col("last_seen").cast("string")).drop("surrogate_key")
 ORACLES["i11_dimension_extract"] = """select user_id, count(*) as source_rows, cast(min(ts) as varchar) as first_seen, cast(max(ts) as varchar) as last_seen,
