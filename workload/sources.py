@@ -71,7 +71,8 @@ ORACLES["a6_table_stats"] = STATS_SQL
 
 def _a7(s, d):
     """Write status shares as nested JSON and flat CSV, read both back and compare."""
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    # the cluster's shared folder; a temporary one only where none is set (local tests)
+    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
     folder = os.path.join(base, "sink-" + uuid.uuid4().hex)
     shares = (table(s, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
               .select(F.col("o_orderstatus").alias("status"), F.struct("o_orderpriority", "n").alias("detail")))
