@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lakegauge.functions.exprs import KEYS, percent
 from lakegauge.operators.numeric import QUARTILES, moments, quantiles
-from lakegauge.operators.values import length_counts, length_summary
+from lakegauge.operators.values import length_summary
 
 
 def _fold(flagged: DataFrame, kind: str, text: str, examples: int) -> DataFrame:
@@ -57,13 +57,12 @@ def iqr_outliers(number_rows: DataFrame, quartiles: DataFrame | None = None,
     return _fold(flagged, "iqr_outliers", f"Values outside {factor:g}*IQR from quartiles", examples)
 
 
-def length_outliers(counts: DataFrame, threshold: float = 2.0, examples: int = 5) -> DataFrame:
+def length_outliers(lengths: DataFrame, threshold: float = 2.0, examples: int = 5) -> DataFrame:
     """Text values whose length is more than ``threshold`` deviations from the mean.
 
-    Works on rows per length, so neither texts nor rows are scanned again; the
-    examples are the outlying lengths.
+    ``lengths`` are rows per length (``length_counts``), so neither texts nor rows
+    are scanned again; the examples are the outlying lengths.
     """
-    lengths = length_counts(counts)
     bounds = length_summary(lengths).where(F.col("std_pop_length") > 0).select(
         *KEYS, "avg_length", "std_pop_length", F.col("non_null").alias("size"))
     z = F.abs(F.col("length") - F.col("avg_length")) / F.col("std_pop_length")
@@ -72,9 +71,37 @@ def length_outliers(counts: DataFrame, threshold: float = 2.0, examples: int = 5
     return _fold(flagged, "length_outliers", "Values with unusual string length", examples)
 
 
-def all_anomalies(number_rows: DataFrame, text_counts: DataFrame, stats: DataFrame,
-                  quartiles: DataFrame) -> DataFrame:
+def numeric_outliers(number_rows: DataFrame, profile: DataFrame, threshold: float = 3.0, factor: float = 1.5,
+                     examples: int = 5) -> DataFrame:
+    """Z-score and interquartile outliers of profiled columns in one scan.
+
+    ``profile`` comes from ``numeric_profile``.
+    """
+    reach = (F.col("q3") - F.col("q1")) * factor
+    bounds = profile.select(*KEYS, "mean", "std_pop", F.col("non_null_count").alias("size"),
+                            (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    v = F.col("v")
+    z = F.when(F.col("std_pop") > 0, F.abs(v - F.col("mean")) / F.col("std_pop"))
+    beyond = F.greatest(F.col("low") - v, v - F.col("high"))
+    hits = F.array_compact(F.array(
+        F.when(z > threshold, F.struct(F.lit("z").alias("kind"), z.alias("distance"))),
+        F.when(beyond > 0, F.struct(F.lit("i").alias("kind"), beyond.alias("distance")))))
+    flagged = (number_rows.join(F.broadcast(bounds), KEYS)  # proven bound: one row per column
+               .where((z > threshold) | (beyond > 0)).select(*KEYS, "v", "size", F.inline(hits)))
+    counted = flagged.groupBy(*KEYS, "kind", "v", "size", "distance").agg(F.count(F.lit(1)).alias("n"))
+    group = [*KEYS, "kind"]
+    order = Window.partitionBy(*group).orderBy(F.desc("distance"), F.asc("v"))
+    best = (counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= examples)
+            .groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda s: s["v"]).alias("examples")))
+    totals = counted.groupBy(*group).agg(F.sum("n").alias("count"), F.max("size").alias("size"))
+    by_z = F.col("kind") == "z"
+    return (totals.join(F.broadcast(best), group)  # proven bound: two rows per column
+            .select(*KEYS, F.when(by_z, "statistical_outliers").otherwise("iqr_outliers").alias("type"), "count",
+                    percent(F.col("count"), F.col("size")).alias("percentage"),
+                    F.when(by_z, f"Values with Z-score > {threshold:g}")
+                    .otherwise(f"Values outside {factor:g}*IQR from quartiles").alias("description"), "examples"))
+
+
+def all_anomalies(number_rows: DataFrame, profile: DataFrame, lengths: DataFrame) -> DataFrame:
     """All three kinds, one row per column and kind that occurs."""
-    return (zscore_outliers(number_rows, stats)
-            .unionByName(iqr_outliers(number_rows, quartiles))
-            .unionByName(length_outliers(text_counts)))
+    return numeric_outliers(number_rows, profile).unionByName(length_outliers(lengths))

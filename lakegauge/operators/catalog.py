@@ -31,18 +31,21 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return marks.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def lake_catalog(tables: dict[str, DataFrame], database: str = "default") -> DataFrame:
-    """One row per column of every table, with type, bucket, comment and row count."""
+def schema_rows(tables: dict[str, DataFrame], database: str = "default") -> DataFrame:
+    """One row per column of every table, from the schemas alone."""
     spark = next(iter(tables.values())).sparkSession
     rows = [(database, name, f.name, i + 1, f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("comment"))
             for name, df in tables.items() for i, f in enumerate(df.schema.fields)]
     schema = ("database string, table_name string, column_name string, ordinal int, data_type string, "
               "nullable boolean, comment string")
-    catalog = spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema).withColumn("type_bucket", type_bucket(F.col("data_type")))
+
+
+def lake_catalog(tables: dict[str, DataFrame], database: str = "default") -> DataFrame:
+    """One row per column of every table, with type, bucket, comment and row count."""
     # proven bound: one row per table
-    return (catalog.join(F.broadcast(row_counts(tables)), "table_name", "left")
-            .withColumn("row_count", F.coalesce("row_count", F.lit(0)))
-            .withColumn("type_bucket", type_bucket(F.col("data_type"))))
+    return (schema_rows(tables, database).join(F.broadcast(row_counts(tables)), "table_name", "left")
+            .withColumn("row_count", F.coalesce("row_count", F.lit(0))))
 
 
 def column_catalog(df: DataFrame, table: str, database: str = "default") -> DataFrame:

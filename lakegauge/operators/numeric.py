@@ -22,19 +22,23 @@ def numbers(df: DataFrame, table: str, columns=None) -> DataFrame:
             .select(F.lit(table).alias("table_name"), "column_name", "v"))
 
 
+_MOMENTS = {
+    "non_null_count": F.count, "min_value": F.min, "max_value": F.max, "mean": F.avg, "std_dev": F.stddev_samp,
+    "variance": F.var_samp, "std_pop": F.stddev_pop, "skewness": F.skewness, "kurtosis": F.kurtosis}
+
+
 def moments(number_rows: DataFrame) -> DataFrame:
     """Count, range, mean, spread, skewness and excess kurtosis per column.
 
     One grouped aggregate with as many groups as numeric columns: every task
     sends one row per column to the shuffle.
     """
-    return number_rows.groupBy(*KEYS).agg(
-        F.count("v").alias("non_null_count"),
-        F.min("v").alias("min_value"), F.max("v").alias("max_value"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std_dev"), F.var_samp("v").alias("variance"),
-        F.stddev_pop("v").alias("std_pop"),
-        F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"))
+    return number_rows.groupBy(*KEYS).agg(*[f("v").alias(name) for name, f in _MOMENTS.items()])
+
+
+def _edges(ps: list[float], accuracy: int) -> list[float]:
+    margin = 8.0 / accuracy  # the sketch's own rank error is 1 / accuracy
+    return [e for p in ps for e in (max(0.0, p - margin), min(1.0, p + margin))]
 
 
 def quantiles(number_rows: DataFrame, probs: dict[str, float], exact: bool = True,
@@ -53,14 +57,23 @@ def quantiles(number_rows: DataFrame, probs: dict[str, float], exact: bool = Tru
         got = number_rows.groupBy(*KEYS).agg(F.percentile_approx("v", ps, accuracy).alias("q"))
         return got.select(*KEYS, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
-    margin = 8.0 / accuracy  # the sketch's own rank error is 1 / accuracy
-    edges = [e for p in ps for e in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = number_rows.groupBy(*KEYS).agg(
         F.count("v").alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.percentile_approx("v", edges, accuracy).alias("edge"))
+        F.percentile_approx("v", _edges(ps, accuracy), accuracy).alias("edge"))
+    return _enclosed(number_rows, sketch, probs, accuracy)
+
+
+def _enclosed(number_rows: DataFrame, sketch: DataFrame, probs: dict[str, float], accuracy: int, carry=()) -> DataFrame:
+    """Exact quantiles from a sketch (size, lo, hi, edge) and one more scan.
+
+    ``carry`` names further columns of the sketch row that come out beside the
+    quantiles.
+    """
+    ps, edges = list(probs.values()), _edges(list(probs.values()), accuracy)
     small = F.col("size") <= 4 * accuracy
+    keys = [*KEYS, "size", *carry]
     bounds = sketch.select(
-        *KEYS, "size",
+        *keys,
         *[F.when(small | F.lit(edges[2 * i] == 0.0), F.col("lo")).otherwise(F.col("edge")[2 * i]).alias(f"from{i}")
           for i in range(len(ps))],
         *[F.when(small | F.lit(edges[2 * i + 1] == 1.0), F.col("hi")).otherwise(F.col("edge")[2 * i + 1]).alias(f"to{i}")
@@ -71,9 +84,9 @@ def quantiles(number_rows: DataFrame, probs: dict[str, float], exact: bool = Tru
     below = [F.when(F.col(f"to{i}") < v, F.col(f"to{i}")) for i in range(len(ps))]
     left_edge = F.greatest(*below) if len(below) > 1 else below[0]
     counted = (number_rows.join(F.broadcast(bounds), KEYS)  # proven bound: one row per column
-               .select(*KEYS, "size", F.when(inside, v).otherwise(left_edge).alias("at"),
+               .select(*keys, F.when(inside, v).otherwise(left_edge).alias("at"),
                        (~inside).alias("gap"))
-               .groupBy(*KEYS, "size", "at", "gap").agg(F.count(F.lit(1)).alias("n")))
+               .groupBy(*keys, "at", "gap").agg(F.count(F.lit(1)).alias("n")))
     upto = F.sum("n").over(Window.partitionBy(*KEYS).orderBy(F.asc_nulls_first("at"), "gap")
                            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counted.withColumn("upto", upto)
@@ -87,7 +100,7 @@ def quantiles(number_rows: DataFrame, probs: dict[str, float], exact: bool = Tru
         position = F.lit(p) * (F.col("size") - 1)
         picks += [value_at(F.floor(position)).alias(f"{name}_a"),
                   value_at(F.ceil(position)).alias(f"{name}_b")]
-    found = ranked.groupBy(*KEYS, "size").agg(*picks)
+    found = ranked.groupBy(*keys).agg(*picks)
 
     def interpolated(name, p):
         a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
@@ -96,10 +109,24 @@ def quantiles(number_rows: DataFrame, probs: dict[str, float], exact: bool = Tru
         missing = F.raise_error(F.lit("quantile outside its enclosure: raise accuracy")).cast("double")
         return F.coalesce(value, missing).alias(name)
 
-    return found.select(*KEYS, *[interpolated(n, p) for n, p in probs.items()])
+    return found.select(*KEYS, *carry, *[interpolated(n, p) for n, p in probs.items()])
 
 
-def numeric_profile(number_rows: DataFrame, exact: bool = True) -> DataFrame:
-    """Moments and all seven quantiles per column."""
-    return moments(number_rows).join(
-        quantiles(number_rows, {**QUARTILES, **PERCENTILES}, exact), KEYS)
+def numeric_profile(number_rows: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """Moments and all seven quantiles per column: two scans (one when not exact).
+
+    The first scan gives moments and sketch together.
+    """
+    probs = {**QUARTILES, **PERCENTILES}
+    ps = list(probs.values())
+    first = number_rows.groupBy(*KEYS).agg(
+        *[f("v").alias(name) for name, f in _MOMENTS.items()],
+        F.percentile_approx("v", _edges(ps, accuracy) if exact else ps, accuracy).alias("edge"))
+    if not exact:
+        return first.select("*", *[F.col("edge")[i].alias(n) for i, n in enumerate(probs)]).drop("edge")
+    # the moments travel with the bounds: two uses of `first` would be pruned
+    # differently and scan the table twice
+    sketch = first.select(*KEYS, F.col("non_null_count").alias("size"), F.col("min_value").alias("lo"),
+                          F.col("max_value").alias("hi"), "edge", F.struct(*_MOMENTS).alias("stats"))
+    found = _enclosed(number_rows, sketch, probs, accuracy, ["stats"])
+    return found.select(*KEYS, "stats.*", *probs)

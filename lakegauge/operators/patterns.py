@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakegauge.functions import vocab
 from lakegauge.functions.exprs import KEYS, contains_any, percent
@@ -47,23 +47,22 @@ def common_patterns(sums: DataFrame) -> DataFrame:
 
 def business_flags(profile: DataFrame, patterns: DataFrame) -> DataFrame:
     """PII flag, key flag and data class; ``profile`` has the uniqueness columns."""
-    name = F.lower("column_name")
     hits = (patterns.where(F.col("pattern").isin(vocab.PII_PATTERNS))
             .groupBy(*KEYS).agg(F.lit(True).alias("pii_pattern")))
-    pii = contains_any(name, vocab.PII_TOKENS) | F.coalesce("pii_pattern", F.lit(False))
-    key = contains_any(name, vocab.KEY_TOKENS) | (F.col("unique_percentage") > 95)
-    # a column without a value is not classified at all
-    any_value = F.col("non_null_count") > 0
-    return (profile.join(F.broadcast(hits), KEYS, "left")  # proven bound: one row per column
-            .withColumn("potential_pii", any_value & pii)
-            .withColumn("potential_key", any_value & key)
-            .withColumn("data_classification", F.when(any_value, F
-                        .when(F.col("potential_pii"), "sensitive")
-                        .when(F.col("potential_key"), "identifier")
-                        .when(contains_any(name, vocab.FINANCIAL_TOKENS), "financial")
-                        .when(contains_any(name, vocab.TEMPORAL_TOKENS), "temporal")
-                        .otherwise("general")))
-            .drop("pii_pattern"))
+    joined = profile.join(F.broadcast(hits), KEYS, "left")  # proven bound: one row per column
+    return classified(joined, F.coalesce("pii_pattern", F.lit(False))).drop("pii_pattern")
+
+
+def classified(profile: DataFrame, pii_pattern: Column) -> DataFrame:
+    """Add the flags and the class, given whether a personal-data pattern was found."""
+    name = F.lower("column_name")
+    any_value = F.col("non_null_count") > 0  # a column without a value is not classified at all
+    pii = any_value & (contains_any(name, vocab.PII_TOKENS) | pii_pattern)
+    key = any_value & (contains_any(name, vocab.KEY_TOKENS) | (F.col("unique_percentage") > 95))
+    label = (F.when(pii, "sensitive").when(key, "identifier")
+             .when(contains_any(name, vocab.FINANCIAL_TOKENS), "financial")
+             .when(contains_any(name, vocab.TEMPORAL_TOKENS), "temporal").otherwise("general"))
+    return profile.withColumns({"potential_pii": pii, "potential_key": key, "data_classification": F.when(any_value, label)})
 
 
 def pattern_rollup(patterns: DataFrame) -> DataFrame:

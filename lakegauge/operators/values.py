@@ -39,11 +39,25 @@ def cells(df: DataFrame, table: str, columns=None) -> DataFrame:
             .select(F.lit(table).alias("table_name"), "column_name", "value"))
 
 
+def _possible(name: str, value: Column) -> Column | None:
+    """A cheap condition every match of the pattern meets, tested before the pattern.
+
+    Lengths allow one closing line break, which ``$`` skips.
+    """
+    sizes = {"phone": (10, 18), "ssn": (9, 12), "credit_card": (16, 20), "ip_address": (7, 16), "uuid": (36, 37),
+             **{d: (10, 11) for d in vocab.DATE_PATTERNS}}
+    if name in sizes:
+        return F.length(value).between(*sizes[name])
+    return {"email": value.contains("@"), "url": value.startswith("http")}.get(name)
+
+
 def pattern_bits(value: Column) -> Column:
     """One bit per whole-value pattern the text matches."""
     bits = F.lit(0)
     for name, pattern in _ALL_PATTERNS.items():
-        bits = bits + F.when(value.rlike(_FLAGS + pattern), PATTERN_BITS[name]).otherwise(0)
+        match = value.rlike(_FLAGS + pattern)
+        first = _possible(name, value)
+        bits = bits + F.when(match if first is None else first & match, PATTERN_BITS[name]).otherwise(0)
     return bits
 
 
@@ -138,36 +152,39 @@ def _with_texts(ranked: DataFrame, cell_rows: DataFrame | None) -> DataFrame:
             .withColumn("value", F.coalesce("value", "text")).drop("text"))
 
 
-def top_values(counts: DataFrame, stats: DataFrame, cell_rows: DataFrame | None = None,
-               limit: int = 10) -> DataFrame:
-    """Most frequent values per column: count descending, then value, then digest."""
+def most_frequent(counts: DataFrame, cell_rows: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """(table_name, column_name, rank, value, n): count descending, then value, then digest."""
     order = [F.desc("n"), F.asc_nulls_last("value"), F.asc("digest")]
-    best = _with_texts(_ranked(present(counts), order, limit), cell_rows)
-    return (best.join(F.broadcast(stats.select(*KEYS, "non_null_count")), KEYS)
-            .select(*KEYS, "rank", "value", "n",
-                    percent(F.col("n"), F.col("non_null_count")).alias("percentage")))
+    return _with_texts(_ranked(present(counts), order, limit), cell_rows).select(*KEYS, "rank", "value", "n")
 
 
-def least_values(counts: DataFrame, stats: DataFrame, cell_rows: DataFrame | None = None) -> DataFrame:
-    """Least frequent values: the last 10 of more than 20 distinct, else the last 5.
-
-    Rank 1 is the last value of the descending order (count, then value).
-    """
+def least_frequent(counts: DataFrame, cell_rows: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """The last values of the descending order; rank 1 is the very last."""
     order = [F.asc("n"), F.desc_nulls_first("value"), F.desc("digest")]
-    rare = _with_texts(_ranked(present(counts), order, 10), cell_rows)
-    keep = F.when(F.col("unique_count") > 20, 10).otherwise(F.least(F.lit(5), F.col("unique_count")))
-    return (rare.join(F.broadcast(stats.select(*KEYS, "non_null_count", "unique_count")), KEYS)
-            .where(F.col("rank") <= keep)
-            .select(*KEYS, "rank", "value", "n",
-                    percent(F.col("n"), F.col("non_null_count")).alias("percentage")))
+    return _with_texts(_ranked(present(counts), order, limit), cell_rows).select(*KEYS, "rank", "value", "n")
+
+
+def least_kept(unique_count: Column) -> Column:
+    """How many least frequent values are reported: 10 of more than 20 distinct, else up to 5."""
+    return F.when(unique_count > 20, F.lit(10)).otherwise(F.least(F.lit(5), unique_count)).cast("int")
+
+
+def _with_share(ranked: DataFrame, stats: DataFrame) -> DataFrame:
+    return (ranked.join(F.broadcast(stats.select(*KEYS, "non_null_count", "unique_count")), KEYS)  # one row per column
+            .withColumn("percentage", percent(F.col("n"), F.col("non_null_count"))))
+
+
+def top_values(counts: DataFrame, stats: DataFrame, cell_rows: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """Most frequent values per column with their share of the present values."""
+    return _with_share(most_frequent(counts, cell_rows, limit), stats).drop("non_null_count", "unique_count")
+
+
+def least_values(counts: DataFrame, stats: DataFrame, cell_rows: DataFrame | None = None) -> DataFrame:
+    """Least frequent values per column with their share of the present values."""
+    rare = _with_share(least_frequent(counts, cell_rows), stats)
+    return rare.where(F.col("rank") <= least_kept(F.col("unique_count"))).drop("non_null_count", "unique_count")
 
 
 def distinct_values(df: DataFrame, table: str, columns=None) -> DataFrame:
     """Distinct present values per column, keyed by text or digest."""
     return present(value_counts(cells(df, table, columns)))
-
-
-def as_list(values: DataFrame, name: str) -> DataFrame:
-    """Ranked values of each column as one array (bounded: at most 10 per column)."""
-    item = F.struct("rank", "value", F.col("n").alias("count"), "percentage")
-    return (values.groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias(name)))

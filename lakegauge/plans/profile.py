@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from lakegauge.functions.exprs import KEYS, is_text, ordered_names
+from lakegauge.functions import vocab
+from lakegauge.functions.exprs import KEYS, is_text, ordered_names, percent
 from lakegauge.operators import anomalies as an, numeric as nu, patterns as pa, quality as qu
 from lakegauge.operators import temporal as te, values as va
-from lakegauge.operators.catalog import column_catalog
+from lakegauge.operators.catalog import schema_rows
 
 
 @dataclass
@@ -17,22 +19,19 @@ class Parts:
     """Lazy building blocks of a profile, shared by all statistics of a table."""
 
     catalog: DataFrame
-    cells: DataFrame
+    text_cells: DataFrame
     counts: DataFrame
-    text_counts: DataFrame
     numbers: DataFrame
     instants: DataFrame
 
 
 def parts_of(df: DataFrame, table: str, columns=None) -> Parts:
     fields = [f for f in df.schema.fields if columns is None or f.name in set(columns)]
-    catalog = column_catalog(df, table)
+    catalog = schema_rows({table: df})
     if columns is not None:
         catalog = catalog.where(F.col("column_name").isin([f.name for f in fields]))
-    cell_rows = va.cells(df, table, columns)
-    counts = va.value_counts(cell_rows)
     texts = [f.name for f in fields if is_text(f)]
-    return Parts(catalog, cell_rows, counts, counts.where(F.col("column_name").isin(texts)),
+    return Parts(catalog, va.cells(df, table, texts), va.value_counts(va.cells(df, table, columns)),
                  nu.numbers(df, table, columns), te.instants(df, table, columns))
 
 
@@ -52,36 +51,69 @@ def column_profile(df: DataFrame, table: str, columns=None, exact: bool = True)
     return profile_parts(parts_of(df, table, columns), exact)
 
 
+ONE, MANY = ["catalog", "stats", "numeric", "lengths", "dates"], ["temporal", "pattern", "anomaly", "top", "least"]
+
+
+def _gathered(frames: dict[str, DataFrame]) -> DataFrame:
+    """Metric frames side by side: one row per column, by a union and one grouping.
+
+    A frame becomes a struct column; frames with several rows per column (at most
+    some dozens, all bounded) become arrays.  This replaces a chain of joins.
+    """
+    names = [n for n in ONE + MANY if n in frames]
+    parts = []
+    for own, df in frames.items():
+        rest = [c for c in df.columns if c not in KEYS]
+        parts.append(df.select(*KEYS, *[(F.struct(*rest) if n == own else F.lit(None)).alias(n) for n in names]))
+    together = reduce(DataFrame.union, parts)
+    return together.groupBy(*KEYS).agg(*[
+        (F.any_value(n, True) if n in ONE else F.array_sort(F.collect_list(n))).alias(n) for n in names])
+
+
 def profile_parts(p: Parts, exact: bool = True, lists: bool = True) -> DataFrame:
     """Profile rows from building blocks.
 
-    Every joined table has one row per column, a bound the schema proves, so the
-    joins are broadcast.
+    Distinct values, lengths, patterns and frequent values all read the one shuffle
+    of the value counts.  Lengths are taken of every column and dropped for others
+    than text at the end: a filter here would be pushed below the shuffle and
+    split it in two.
     """
-    stats = va.uniqueness(p.counts)
     numeric = nu.numeric_profile(p.numbers, exact)
-    lengths = va.length_summary(va.length_counts(p.text_counts)).select(
-        *KEYS, "min_length", "max_length", "avg_length", "format_consistency")
-    dates = te.date_range(p.instants)
-    variation = te.temporal_variation(p.instants).where("is_pattern").groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("kind").alias("type"), "description"))).alias("temporal_patterns"))
-    sums = pa.pattern_sums(p.counts)
-    found = pa.common_patterns(sums)
-    pattern_list = found.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("pattern", "matches", "percentage", "description"))).alias("common_patterns"))
-    odd = an.all_anomalies(p.numbers, p.text_counts, nu.moments(p.numbers), numeric)
-    odd_list = odd.groupBy(*KEYS).agg(
-        F.sum("count").alias("anomaly_count"),
-        F.array_sort(F.collect_list(F.struct("type", "count", "percentage", "description", "examples"))).alias("anomalies"))
-    out = p.catalog.select(*KEYS, "ordinal", "data_type").join(F.broadcast(stats), KEYS, "left")
-    small = [numeric.drop("non_null_count", "std_pop"), lengths, dates, variation, pattern_list, odd_list]
+    length_rows = va.length_counts(p.counts)
+    frames = {
+        "catalog": p.catalog.select(*KEYS, "ordinal", "data_type"),
+        "stats": va.uniqueness(p.counts),
+        "numeric": numeric.drop("non_null_count", "std_pop"),
+        "lengths": va.length_summary(length_rows).select(*KEYS, "min_length", "max_length", "avg_length", "format_consistency"),
+        "dates": te.date_range(p.instants),
+        "temporal": te.temporal_variation(p.instants).where("is_pattern").select(*KEYS, F.col("kind").alias("type"), "description"),
+        "pattern": pa.common_patterns(pa.pattern_sums(p.counts)).select(*KEYS, "pattern", "matches", "percentage", "description"),
+        "anomaly": an.all_anomalies(p.numbers, numeric, length_rows)}
+    if lists:
+        frames["top"] = va.most_frequent(p.counts, p.text_cells)
+        frames["least"] = va.least_frequent(p.counts, p.text_cells)
+    got = _gathered(frames)
+    is_text = F.col("catalog.data_type") == "string"
+    fields = {n: [c for c in frames[n].columns if c not in KEYS] for n in ONE}
+    flat = [F.col(f"{n}.{c}").alias(c) for n in ["catalog", "stats", "numeric", "dates"] for c in fields[n]]
+    anomalies = F.filter("anomaly", lambda a: is_text | (a["type"] != "length_outliers"))
+    columns = [*KEYS, *flat, *[F.when(is_text, F.col(f"lengths.{c}")).alias(c) for c in fields["lengths"]],
+               F.col("temporal").alias("temporal_patterns"), F.col("pattern").alias("common_patterns"),
+               F.when(F.size(anomalies) > 0, anomalies).alias("anomalies")]
     if lists:
-        small += [va.as_list(va.top_values(p.counts, stats, p.cells), "most_frequent_values"),
-                  va.as_list(va.least_values(p.counts, stats, p.cells), "least_frequent_values")]
-    for metric in small:
-        out = out.join(F.broadcast(metric), KEYS, "left")
-    out = pa.business_flags(out, found)
-    return qu.profile_score(out)
+        def shared(values):
+            return F.transform(values, lambda v: F.struct(
+                v["rank"].alias("rank"), v["value"].alias("value"), v["n"].alias("count"),
+                percent(v["n"], F.col("stats.non_null_count")).alias("percentage")))
+        columns += [shared(F.col("top")).alias("most_frequent_values"),
+                    F.slice(shared(F.col("least")), 1, va.least_kept(F.col("stats.unique_count"))).alias("least_frequent_values")]
+    # an empty table has no value counts: its columns get zero counts
+    zero = {"total_count": F.lit(0), "null_count": F.lit(0), "null_percentage": F.lit(0.0), "non_null_count": F.lit(0),
+            "unique_count": F.lit(0), "unique_percentage": F.lit(0.0), "duplicate_count": F.lit(0)}
+    out = got.select(*columns).withColumns({c: F.coalesce(F.col(c), v) for c, v in zero.items()}).withColumn(
+        "anomaly_count", F.aggregate(F.transform("anomalies", lambda a: a["count"]), F.lit(0).cast("bigint"), lambda x, y: x + y))
+    pii = F.exists("common_patterns", lambda x: x["pattern"].isin(vocab.PII_PATTERNS))
+    return qu.profile_score(pa.classified(out, pii))
 
 
 def table_profile(profile: DataFrame) -> DataFrame:
