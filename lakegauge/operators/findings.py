@@ -243,11 +243,11 @@ def confidences(finding_rows: DataFrame, lake: DataFrame, by=("stage",)) -> Data
     ``lake`` is one row: tables, relationships, data_quality_score, completeness_score.
     """
     g = finding_rows.groupBy(*by).agg(F.count(F.lit(1)).alias("recommendations"), F.count_distinct("category").alias("categories"))
-    g = g.withColumn("one", F.lit(1)).join(F.broadcast(lake.withColumn("one", F.lit(1))), "one").drop("one")  # one row
-    n, q = F.col("recommendations"), F.col("data_quality_score")
-    c = (F.when(F.col("stage") == "discovery", discovery_confidence(n, F.col("tables"), F.col("relationships")))
+    g = g.withColumn("_lake", lake.select(F.struct("tables", "relationships", "data_quality_score", "completeness_score")).scalar())
+    n, q = F.col("recommendations"), F.col("_lake.data_quality_score")
+    c = (F.when(F.col("stage") == "discovery", discovery_confidence(n, F.col("_lake.tables"), F.col("_lake.relationships")))
          .when(F.col("stage") == "analysis", analysis_confidence(n, F.col("categories"), q))
-         .otherwise(generic_confidence(n, q, F.col("completeness_score"))))
+         .otherwise(generic_confidence(n, q, F.col("_lake.completeness_score"))))
     return g.select(*by, "recommendations", "categories", c.alias("confidence"))
 
 

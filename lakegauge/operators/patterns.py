@@ -81,6 +81,5 @@ def pattern_metrics(patterns: DataFrame, anomalies: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pattern_types_detected"),
         F.coalesce(F.sum("columns"), F.lit(0)).alias("total_patterns"),
         F.array_join(F.transform(top, lambda s: F.concat_ws("=", s["pattern"], s["columns"])), ", ")
-        .alias("most_common_patterns")).withColumn("one", F.lit(1))
-    right = anomalies.agg(F.count(F.lit(1)).alias("total_anomalies")).withColumn("one", F.lit(1))
-    return left.join(right, "one").drop("one")
+        .alias("most_common_patterns"))
+    return left.withColumn("total_anomalies", anomalies.agg(F.count(F.lit(1))).scalar())

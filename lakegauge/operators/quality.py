@@ -131,9 +131,9 @@ def quality_rollup(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Mean quality and completeness over tables, mean NULL share over columns."""
     left = tables.agg(F.coalesce(F.avg("overall_quality_score"), F.lit(0.0)).alias("avg_quality_score"),
                       F.coalesce(F.avg("completeness_score"), F.lit(0.0)).alias("avg_completeness_score"),
-                      F.count(F.lit(1)).alias("tables_analyzed")).withColumn("one", F.lit(1))
-    right = columns.agg(F.coalesce(F.avg("null_percentage"), F.lit(0.0)).alias("avg_null_percentage"))
-    return left.join(right.withColumn("one", F.lit(1)), "one").drop("one")
+                      F.count(F.lit(1)).alias("tables_analyzed"))
+    nulls = columns.agg(F.coalesce(F.avg("null_percentage"), F.lit(0.0)))
+    return left.withColumn("avg_null_percentage", nulls.scalar())
 
 
 def table_digest(profile: DataFrame, null_limit: float = 30, trend_limit: float = 25) -> DataFrame:

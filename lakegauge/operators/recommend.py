@@ -202,8 +202,7 @@ def metadata_rules(catalog: DataFrame, references: DataFrame, partitioned: DataF
     totals = t.agg(
         F.count_if(F.col("rows") == 0).alias("empty"), F.count_if(F.col("n") > wide).alias("wide"),
         F.count_if((F.col("rows") > row_limit) & F.col("is_partitioned").isNull()).alias("large"),
-        F.count_if("dated").alias("dated")).withColumn("one", F.lit(1))
-    refs = references.agg(F.count(F.lit(1)).alias("refs")).withColumn("one", F.lit(1))
+        F.count_if("dated").alias("dated")).withColumn("refs", references.agg(F.count(F.lit(1))).scalar())
 
     def line(column, text):
         return F.when(F.col(column) > 0, F.format_string(text, column))
@@ -215,4 +214,4 @@ def metadata_rules(catalog: DataFrame, references: DataFrame, partitioned: DataF
         line("dated", "Found %d tables with date columns - validate date formats and consider time-based partitioning"),
         line("refs", "Identified %d potential foreign key relationships - consider adding formal constraints")))
     default = F.array(F.lit("Data structure analysis completed - no major issues identified"))
-    return totals.join(refs, "one").select(F.explode(F.when(F.size(found) > 0, found).otherwise(default)).alias("recommendation"))
+    return totals.select(F.explode(F.when(F.size(found) > 0, found).otherwise(default)).alias("recommendation"))
