@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakegauge.functions import vocab
-from lakegauge.functions.exprs import KEYS, clean, contains_any, percent, quoted
+from lakegauge.functions.exprs import KEYS, clean, contains_any, quoted
 from lakegauge.operators.values import uniqueness, value_counts, cells
 
 

@@ -15,8 +15,8 @@ from lakegauge.functions import vocab
 from lakegauge.functions.exprs import first_rule
 
 # fixed values: characters that count as white space when lines are stripped
-WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0         "
-              "       　")
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 BULLET_CHARS = "-•*0123456789. "
 MIN_LENGTH = {"analysis": 15}  # other stages keep items longer than 10
 ID = ["doc_id", "stage"]

@@ -33,6 +33,13 @@ def random_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Spread a table that arrives in fewer splits than there are cores (for example
+    one file with one row group) before heavy per-row work.  Costs a shuffle of the
+    selected columns; large tables have splits enough and do not need it."""
+    return df.repartition(partitions)
+
+
 def table_selector(selection: str | None) -> str:
     """SQL regular expression for a comma list of names and ``*``/``?`` globs."""
     if not selection or selection.strip() in ("*", "all"):

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from lakegauge.operators import catalog as ca, classify as cl, recommend as rc, relate as re, values as va
 from lakegauge.plans import lake as lk
-from workload.common import (CUSTOMER_COLUMNS, CUSTOMER_SQL, NUMERIC, TABLES, columns, lake, planted_customer, rounded, table, union_all)
+from workload.common import CUSTOMER_COLUMNS, CUSTOMER_SQL, TABLES, lake, planted_customer, table, union_all
 from workload.quality import PROFILE_SQL, profiles
-from workload.relations import (F2_SQL, G1_SQL, KEYS_SQL, NUMERIC_SQL, PARTITIONED, STAR, SUFFIX_SQL, WITH, catalog, comments, star)
-from workload.sources import CATALOG_SQL, STATS_SQL
+from workload.relations import F2_SQL, G1_SQL, KEYS_SQL, PARTITIONED, STAR, SUFFIX_SQL, WITH, catalog, star
+from workload.sources import STATS_SQL
 
 QUERIES, ORACLES = {}, {}
 SHOWN = ["title", "category", "priority", "description", "implementation_effort", "expected_benefit", "confidence",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakegauge.operators import anomalies as an, numeric as nu, series as se, temporal as te, values as va
 from lakegauge.plans import lake as lk
-from workload.common import NUMERIC, TABLES, as_money, columns, lake, rounded, table, union_all
+from workload.common import NUMERIC, as_money, columns, lake, rounded, table, union_all
 
 QUERIES, ORACLES = {}, {}
 NUM = {t: columns(t, NUMERIC) for t in ["events", "documents", "orders", "lineitem", "part"]}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lakegauge.functions import vocab
 from lakegauge.operators import business as bu, catalog as ca, history as hi, values as va
 from lakegauge.plans import lake as lk
-from workload.common import TABLES, columns, lake, rounded, table, union_all
+from workload.common import rounded, table, union_all
 from workload.profiling import tokens_sql
-from workload.relations import KEYS_SQL, NUMERIC_SQL, STAR, WITH, catalog, star
+from workload.relations import NUMERIC_SQL, STAR, WITH, catalog, star
 
 QUERIES, ORACLES = {}, {}
 

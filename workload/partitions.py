@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakegauge.operators import catalog as ca, partitions as pt
 from workload.common import ORDERS_SQL, lake, planted_orders, table, union_all
-from workload.relations import star, STAR_SQL, COMMENT_SQL, WITH
+from workload.relations import star, WITH
 from workload.sources import CATALOG_SQL
 
 QUERIES, ORACLES = {}, {}

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lakegauge.functions import vocab
 from lakegauge.operators import anomalies as an, numeric as nu, patterns as pa, temporal as te, values as va
-from lakegauge.plans import lake as lk, profile as pr
-from workload.common import (CUSTOMER_COLUMNS, CUSTOMER_SQL, NUMERIC, ORDERS_SQL, PLANTED_ORDERS, TABLES, columns, lake,
-                             per_column, planted_customer, planted_orders, rounded, table, union_all)
+from lakegauge.plans import lake as lk
+from workload.common import (
+    CUSTOMER_COLUMNS, CUSTOMER_SQL, NUMERIC, ORDERS_SQL, PLANTED_ORDERS, columns, lake, per_column, planted_customer, planted_orders, rounded, table, union_all)
 
 QUERIES, ORACLES = {}, {}
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from lakegauge.functions import vocab
 from lakegauge.operators import catalog as ca, classify as cl, quality as qu, values as va
 from lakegauge.plans import lake as lk, profile as pr
-from workload.common import (CUSTOMER_COLUMNS, CUSTOMER_SQL, NUMERIC, ORDERS_SQL, PLANTED_ORDERS, TABLES, columns, lake,
-                             planted_customer, planted_orders, rounded, table, union_all)
+from workload.common import (
+    CUSTOMER_COLUMNS, CUSTOMER_SQL, NUMERIC, TABLES, columns, lake, planted_customer, rounded, table, union_all)
 from workload.profiling import _hit, tokens_sql
-from workload.sources import ALL, CATALOG_SQL, COUNTS_SQL
+from workload.sources import CATALOG_SQL
 
 QUERIES, ORACLES = {}, {}
 
@@ -86,12 +86,6 @@ _issue_query("e7_schema_column_score", ["issue_count", "data_quality_score"],
 PARTITIONED = ["orders"]  # planted: orders counts as partitioned
 
 
-def _pk_sql(t):
-    """literal form of the key-name rule for the columns of one table"""
-    stem = t.rstrip("s")
-    return f"(lower(column_name) = 'id' or lower(column_name) = '{stem}_id')"
-
-
 def _table_scores(s, d):
     issues = _issues(s, d)
     keys = cl.key_columns(issues.select("table_name", "column_name", "data_quality_score"))

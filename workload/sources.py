@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lakegauge.operators import catalog as ca, numeric as nu, values as va
+from lakegauge.operators import catalog as ca, numeric as nu
 from lakegauge.plans import lake as lk
 from lakegauge.sources import readers as rd, sinks as sk
 from workload.common import (TABLES, columns, lake, per_column, planted_orders, ORDERS_SQL, rounded, table, union_all)
