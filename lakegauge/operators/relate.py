@@ -273,10 +273,10 @@ def containment_candidates(stats: DataFrame, min_distinct: int = 2) -> DataFrame
     """Integer column pairs worth a value check.
 
     A target is unique in its table; a source's range lies inside the target's
-    range.  Ranges are compared within groups of equal stripped names (the prefix
-    of a name up to its first underscore is ignored; an addition of this library,
-    marked ``prefix_stripped``) or when the source name ends with the target's
-    stripped name, so that no pair without a common match key is formed.
+    range.  Pairs share the column name without its prefix up to the first
+    underscore (an addition of this library, marked ``prefix_stripped``), so no pair
+    without a common match key is formed.  Pairs from the name rules can be given
+    to ``verified_foreign_keys`` instead.
     """
     name = F.lower("column_name")
     key = F.regexp_replace(name, "^[a-z]+_", "")
