@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lakegauge.llm import cleaning
+from lakegauge.llm import cleaning, decontaminate, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op9_quality_rules": cleaning.op9_quality_rules,
 }
 
 ORACLES = {
+    "op1_warc": warc.ORACLE,
+    "op2_decontaminate": decontaminate.ORACLE,
     "op9_quality_rules": cleaning.ORACLE,
 }
