@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from lakegauge.llm import cleaning, decontaminate, warc
+from lakegauge.llm import chat, cleaning, decontaminate, mixing, personal, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_personal_data": personal.op3_personal_data,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_chat": chat.op8_chat,
     "op9_quality_rules": cleaning.op9_quality_rules,
 }
 
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
+    "op8_chat": chat.ORACLE,
     "op9_quality_rules": cleaning.ORACLE,
 }
