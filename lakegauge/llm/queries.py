@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from lakegauge.llm import chat, cleaning, decontaminate, mixing, personal, warc
+from lakegauge.llm import chat, cleaning, decontaminate, mixing, near, personal, suffix_tree, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_personal_data": personal.op3_personal_data,
+    "op4_near_duplicates": near.op4_near_duplicates,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op8_chat": chat.op8_chat,
     "op9_quality_rules": cleaning.op9_quality_rules,
+    "op10_suffix_tree_scores": suffix_tree.op10_suffix_tree_scores,
 }
 
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
+    "op4_near_duplicates": near.ORACLE,
     "op8_chat": chat.ORACLE,
     "op9_quality_rules": cleaning.ORACLE,
 }
