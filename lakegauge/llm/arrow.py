@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -10,6 +12,14 @@ from pyspark.sql.types import StructType
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """Lets Python workers on this machine import the package from where the driver did; on a cluster it is installed
+    or shipped with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return df
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     """Words between ASCII white space of a UTF-8 text, A-Z lower-cased."""
     return text.translate(LOWER).split() if text else []
@@ -34,4 +44,4 @@ def with_columns(docs: DataFrame, inputs: list[str], make, added: StructType, ke
                 [batch.column(i) for i in range(n)] + [pa.array(c, f.type) for c, f in zip(columns, arrow)],
                 names=kept + added.names)
 
-    return frame.mapInArrow(run, StructType([docs.schema[c] for c in kept] + added.fields))
+    return importable(frame).mapInArrow(run, StructType([docs.schema[c] for c in kept] + added.fields))

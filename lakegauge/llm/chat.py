@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from lakegauge.llm.arrow import importable
 from lakegauge.sources.work import written
 
 CHUNK = 2000
@@ -167,7 +168,7 @@ def render(log: DataFrame) -> DataFrame:
             if pieces.out:
                 yield rows(pieces.out)
 
-    return (log.repartitionByRange(*order).sortWithinPartitions(*order, "seq")
+    return (importable(log).repartitionByRange(*order).sortWithinPartitions(*order, "seq")
             .select("conv", "role", "message", "kind", "text", "at", "cut").mapInArrow(run, schema))
 
 

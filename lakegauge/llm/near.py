@@ -8,7 +8,7 @@ more private values than it may have is alone at once.  The union of two sketche
 (with the same ``T``); the exact test on full sets decides.
 
 Links are sought until the groups are certain, but not all links inside a group: each open list sends its members to a
-leader (later 2, 4, 8, ... leaders), pairs that are already in one group are dropped, a leader leaves its list, and a list
+leader (later 8, 64, ... leaders), pairs that are already in one group are dropped, a leader leaves its list, and a list
 is closed once all its members are in one group.  So a group of near copies meets its first members and not itself.
 Equal sets are one class from the start.  All rounds work on written tables; nothing is gathered in one task.
 
@@ -23,13 +23,14 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from lakegauge.llm.arrow import tokens, with_columns
 from lakegauge.sources.work import written
 
 K, T = 64, 25
 PERCENT = 80
+FASTER = 8  # from round to round, so many times more leaders a list
 
 
 class Hashes(dict):
@@ -117,7 +118,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         common = len(np.intersect1d(x, y, assume_unique=True))
         return (100 * common >= PERCENT * (len(x) + len(y) - common),)
 
-    from pyspark.sql.types import BooleanType
     return with_columns(both, ["fa", "fb"], test, StructType([StructField("linked", BooleanType())]), pairs.columns)
 
 
@@ -138,48 +138,47 @@ def moved(frame: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
     return frame
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for all nodes of edges (low < high) but the roots: every node hangs itself below its smallest
+    neighbour, trees are flattened, and the edges left between trees go on until there are none."""
+    out = None
+    while not edges.isEmpty():
+        roots = rooted(edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("to")))
+        out = roots if out is None else written(
+            moved(out.withColumnRenamed("root", "g"), roots, "g").withColumnRenamed("g", "root").unionByName(roots), "components")
+        left = moved(edges, roots, "low", "high").filter("low <> high")
+        edges = written(left.select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct(), "edges")
+    return out
+
+
 def groups(classes: DataFrame, sets_of) -> DataFrame:
-    """(c, root): classes of documents and the smallest class of their group, for all classes that are not alone."""
+    """(c, g): classes of documents and the smallest class of their group, for all that were merged."""
     lists = written(listings(classes).withColumn("g", F.col("c")), "lists")
     sets = written(sets_of(lists.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
                            .join(lists, "value").select("c").distinct()), "sets")
-    merged = lists.select("c", "g").limit(0)  # (class, group) of all that were merged so far
-    pending, leaders, tries = None, 1, 1
+    merged, leaders = lists.select("c", "g").limit(0), 1
     while True:
-        if pending is None:
-            spread = F.pmod(F.xxhash64("c"), F.lit(leaders))
-            state = lists.groupBy("value").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("value")
-            heads = (lists.join(state, "value").groupBy("value", spread.alias("part"))
-                     .agg(F.min(F.struct("c", "n", "g")).alias("h")).select("value", "h"))
-            heads = written(heads, "heads")
-            if heads.isEmpty():
-                return merged
-            met = lists.join(heads, "value").filter((F.col("g") != F.col("h.g")) & similar_sizes(F.col("n"), F.col("h.n")))
-            first = F.col("h.g") < F.col("g")
-            pairs = met.select(
-                F.when(first, F.col("h.c")).otherwise(F.col("c")).alias("a"), F.when(first, F.col("c")).otherwise(F.col("h.c")).alias("b"),
-                F.least("g", "h.g").alias("ga"), F.greatest("g", "h.g").alias("gb")).distinct()
-            pending = written(estimated(pairs, classes), "pending")
-            led = heads.select("value", F.col("h.c").alias("c"))
-            lists = written(lists.join(state, "value", "left_semi").join(led, ["value", "c"], "left_anti"), "lists")
-            leaders, tries = 2 * leaders, 1
-        # the first link of each group to a smaller one (later the first of 2, 4, ... shares of its pairs)
-        share = F.pmod(F.xxhash64("a", "b"), F.lit(tries))
-        chosen = pending.groupBy("gb", share.alias("share")).agg(F.min(F.struct("ga", "a", "b")).alias("p")).select("p.*", "gb")
-        tested = written(confirmed(chosen, sets), "tested")
-        links = tested.filter("linked").groupBy(F.col("gb").alias("node")).agg(F.min("ga").alias("to"))
-        rest = pending.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        roots = rooted(links)
-        if not roots.isEmpty():
-            rest = moved(rest, roots, "ga", "gb").select("a", "b", F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"))
-            lists = written(moved(lists, roots, "g").select("value", "c", "n", "g"), "lists")
-            known = moved(merged, roots, "g")
-            fresh = roots.select(F.col("node").alias("c"), F.col("root").alias("g"))
-            merged = written(known.unionByName(fresh), "merged")
-        pending = written(rest.filter("ga < gb"), "pending")
-        tries *= 2
-        if pending.isEmpty():
-            pending = None
+        # lists whose members are not yet in one group, and their next leaders: the first of each share of the members
+        open_lists = lists.groupBy("value").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("value")
+        heads = written(lists.join(open_lists, "value").groupBy("value", F.pmod(F.xxhash64("c"), F.lit(leaders)).alias("part"))
+                        .agg(F.min(F.struct("c", "n", "g")).alias("h")).select("value", "h"), "heads")
+        if heads.isEmpty():
+            return merged
+        met = lists.join(heads, "value").filter((F.col("g") != F.col("h.g")) & similar_sizes(F.col("n"), F.col("h.n")))
+        first = F.col("h.c") < F.col("c")
+        this, that = F.struct("c", "g"), F.struct(F.col("h.c").alias("c"), F.col("h.g").alias("g"))
+        pairs = met.select(F.when(first, that).otherwise(this).alias("x"), F.when(first, this).otherwise(that).alias("y")).distinct().select(
+            F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.least("x.g", "y.g").alias("low"), F.greatest("x.g", "y.g").alias("high"))
+        likely = written(estimated(pairs, classes), "likely")
+        edges = written(confirmed(likely, sets).filter("linked").select("low", "high").distinct(), "edges")
+        led = heads.select("value", F.col("h.c").alias("c"))
+        lists = lists.join(open_lists, "value", "left_semi").join(led, ["value", "c"], "left_anti")
+        roots = components(edges)
+        if roots is not None:
+            lists = moved(lists, roots, "g")
+            merged = written(moved(merged, roots, "g").unionByName(roots.select(F.col("node").alias("c"), F.col("root").alias("g"))), "merged")
+        lists = written(lists.select("value", "c", "n", "g"), "lists")
+        leaders *= FASTER
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
