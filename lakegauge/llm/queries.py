@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakegauge.llm import chat, cleaning, decontaminate, mixing, near, personal, suffix_tree, warc
+from lakegauge.llm import chat, cleaning, decontaminate, mixing, near, passages, personal, suffix_tree, suffixes, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_personal_data": personal.op3_personal_data,
     "op4_near_duplicates": near.op4_near_duplicates,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_shared_passages": passages.op6_shared_passages,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_chat": chat.op8_chat,
     "op9_quality_rules": cleaning.op9_quality_rules,
     "op10_suffix_tree_scores": suffix_tree.op10_suffix_tree_scores,
