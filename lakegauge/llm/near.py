@@ -182,7 +182,8 @@ def groups(classes: DataFrame, sets_of) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two frames: rows (doc_id, cls, n_shingles, component_id, kept), and classes (cls, component_id)."""
+    """Two frames: rows (row, doc_id, n_shingles, root, component_id, kept), row being the number of the row in
+    ``docs``, and the classes (cls, root, component_id)."""
     numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = written(sketches(numbered, "text", ["row", "doc_id"]), "rows")
     classes = written(rows.filter("n > 0").groupBy("cls").agg(
@@ -205,15 +206,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     merged = groups(classes.select("c", "n", "sketch"), sets_of).withColumnRenamed("g", "root")
     placed = classes.select("c", "cls", "least").join(merged, "c", "left").withColumn("root", F.coalesce("root", "c"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(placed.join(names, "root").select("cls", "component_id"), "named")
+    named = written(placed.join(names, "root").select("cls", "root", "component_id"), "named")
     out = rows.drop("sketch").join(named, "cls", "left").withColumn(
         "component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "cls", F.col("n").alias("n_shingles"), "component_id",
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), "root", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), named
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group; documents without words all stay.  ``docs`` must be read in the same
+    order twice, as a written table is."""
+    rows = near_duplicates(docs, id_col, text_col)[0]
+    first = rows.filter("kept and n_shingles > 0").groupBy("root").agg(F.min("row").alias("__row")).select("__row")
+    stay = first.unionByName(rows.filter("n_shingles = 0").select(F.col("row").alias("__row")))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(stay, "__row", "left_semi").drop("__row")
+
+
 def op4_near_duplicates(spark, sf_dir) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0].drop("cls")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0].drop("row", "root")
 
 
 _W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
