@@ -112,6 +112,12 @@ def line_clean(docs: DataFrame, text_col: str = "text",
                               & (100 * F.col("n_lost_words") <= max_lost_percent * F.col("n_words"))).alias("kept")).drop("__l", "__bad", "__flags")
 
 
+def kept_only(judged: DataFrame) -> DataFrame:
+    """The rows that are kept.  The random column keeps the optimizer from moving the filter below the judgement, where
+    it would compute every array of it again for each element; it drops no row."""
+    return judged.withColumn("__any", F.rand(0)).filter("kept and __any >= 0").drop("__any")
+
+
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
