@@ -29,6 +29,7 @@ from lakegauge.llm.arrow import tokens, with_columns
 from lakegauge.sources.work import written
 
 K, T = 64, 25
+BRIEF = 24
 PERCENT = 80
 FASTER = 8  # from round to round, so many times more leaders a list
 
@@ -99,7 +100,14 @@ def similar_sizes(a: Column, b: Column) -> Column:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union sketch does not rule the link out."""
+    """Pairs (a, b) whose union sketch does not rule the link out.  The ``BRIEF`` smallest values, cut to their upper 32
+    bits, go first: a linked pair shares fewer than 4 of 24 with a probability of 2e-12, and most others fall here, before
+    whole sketches are shuffled."""
+    brief = lambda x: classes.select(F.col("c").alias(x), F.transform(F.slice("sketch", 1, BRIEF), lambda v: F.shiftright(v, 32).cast("int")).alias(f"s{x}"))
+    near = pairs.join(brief("a"), "a").join(brief("b"), "b")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, BRIEF)
+    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
+    pairs = near.filter((common >= 4) | (F.size(union) < BRIEF) & (100 * (common + 1) >= PERCENT * F.size(union))).select(*pairs.columns)
     side = lambda x: classes.select(F.col("c").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
