@@ -44,8 +44,8 @@ def measure_columns(catalog: DataFrame) -> DataFrame:
             .select("table_name", "column_name", "data_type", "type", "row_count"))
 
 
-def dimension_pairs(df: DataFrame, dimensions: list[str], first: int = 5) -> DataFrame:
-    """Row counts of the first pairs of dimension columns, all pairs in one pass.
+def dimension_pairs(df: DataFrame, dimensions: list[str], first: int | None = None) -> DataFrame:
+    """Row counts of all (or the ``first``) pairs of dimension columns, all pairs in one pass.
 
     Grouping sets expand each row once per pair; counts are combined per task.
     """

@@ -6,13 +6,13 @@ shuffle): a corpus is parsed in one narrow pass whatever its size or skew.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakegauge.functions import vocab
 from lakegauge.functions.exprs import first_rule
+from lakegauge.sources.work import work_folder
 
 # fixed values: characters that count as white space when lines are stripped
 WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -315,10 +315,7 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder of the session (spark.checkpoint.dir)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint()
 
 

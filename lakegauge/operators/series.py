@@ -8,12 +8,12 @@ from lakegauge.functions.exprs import clean, fields_of, fixed, is_numeric, quote
 
 
 def period_metrics(df: DataFrame, period: str, metrics=None, start=None, end=None,
-                   table: str = "", first: int = 3) -> DataFrame:
+                   table: str = "", first: int | None = None) -> DataFrame:
     """(table_name, metric, period, record_count, avg, total, min, max) per period value.
 
     The range is inclusive and compares the raw period column, so partitions and
-    row groups outside it are skipped.  The default metrics are the first numeric
-    columns.  All metrics share one scan and one shuffle of per-task partial sums.
+    row groups outside it are skipped.  The default metrics are all numeric columns,
+    or the ``first`` of them.  All metrics share one scan and one shuffle of per-task partial sums.
     """
     names = metrics or [f.name for f in fields_of(df, kind=is_numeric) if f.name != period][:first]
     p = quoted(period)

@@ -120,8 +120,8 @@ def _all(s, d):
 ALL_SQL = STAT_SQL + f", sizes as ({STATS_SQL}), recs as ({J3_SQL} union all {J4_SQL} union all {J5_SQL} union all {J6_SQL})"
 QUERIES["j9_filter"] = lambda s, d: rc.filter_recommendations(_all(s, d), "data_type_optimization", "low", "customer").select(*SHOWN)
 ORACLES["j9_filter"] = ALL_SQL + " select * from recs where category = 'data_type_optimization' and priority = 'low' and table_name = 'customer'"
-QUERIES["j10_sort"] = lambda s, d: rc.sort_recommendations(_all(s, d), "priority").select(*SHOWN).limit(8)
-ORACLES["j10_sort"] = ALL_SQL + " select * from recs order by case priority when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end, title limit 8"
+QUERIES["j10_sort"] = lambda s, d: rc.sort_recommendations(_all(s, d), "priority").select(*SHOWN)
+ORACLES["j10_sort"] = ALL_SQL + " select * from recs order by case priority when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end, title"
 
 
 def _tables(s, d):

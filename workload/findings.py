@@ -181,11 +181,11 @@ QUERIES["k11_dedup_documents"] = lambda s, d: fi.deduplicate(
     table(s, d, "documents").select("doc_id", "text"), ["doc_id"], "text").select("doc_id")
 
 RANKED = lambda s, d: fi.rank(fi.deduplicate(consolidated(s, d), ORDER), ORDER)
-QUERIES["k12_ranked"] = lambda s, d: RANKED(s, d).select(*SHOWN).limit(50)
+QUERIES["k12_ranked"] = lambda s, d: RANKED(s, d).select(*SHOWN)
 ORACLES["k12_ranked"] = f"with recursive {CONSOLIDATED[5:]}" + ORACLES["k11_dedup"][len(f"with recursive {TITLED[5:]}"):].split("\n select doc_id, section, item, title from sets")[0] + f""",
  kept as (select doc_id, section, item from sets where len(ts) = 0 or (doc_id, section, item) in (select pos from num where k not in (select k from gone)))
  select {', '.join(SHOWN)} from cons join kept using (doc_id, section, item)
- order by {SCORE('consolidated_priority', vocab.PRIORITY_RANKS)} desc, doc_id, section, item limit 50"""
+ order by {SCORE('consolidated_priority', vocab.PRIORITY_RANKS)} desc, doc_id, section, item"""
 
 QUERIES["k13_overlap"] = lambda s, d: rounded(fi.stage_overlap(fi.findings(docs(s, d)), 0.01), 6)
 STOP = "[" + ", ".join(f"'{w}'" for w in vocab.KEYWORD_STOPLIST) + "]"

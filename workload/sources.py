@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lakegauge.operators import catalog as ca, numeric as nu
 from lakegauge.plans import lake as lk
 from lakegauge.sources import readers as rd, sinks as sk
+from lakegauge.sources.work import fresh_path
 from workload.common import (TABLES, columns, lake, per_column, planted_orders, ORDERS_SQL, rounded, table, union_all)
 
 ALL = list(TABLES)
@@ -71,9 +68,7 @@ ORACLES["a6_table_stats"] = STATS_SQL
 
 def _a7(s, d):
     """Write status shares as nested JSON and flat CSV, read both back and compare."""
-    # the cluster's shared folder; a temporary one only where none is set (local tests)
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    folder = os.path.join(base, "sink-" + uuid.uuid4().hex)
+    folder = fresh_path(s, "sink")
     shares = (table(s, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
               .select(F.col("o_orderstatus").alias("status"), F.struct("o_orderpriority", "n").alias("detail")))
     sk.write_result(shares, folder + "/json", "json")
