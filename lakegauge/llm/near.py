@@ -4,8 +4,10 @@ One hash function orders the two-word shingles; the ``K`` smallest values of a d
 of retained values generate candidates: the length of each list is known, every document enters the lists of its rarest
 values only, as many as a linked pair can be sure to share one of.  For sets up to ``K`` that is certain; beyond, two
 sketches of a pair at the threshold share fewer than ``T`` = 25 of 64 values with a probability of 7e-12.  A document with
-more private values than it may have is alone at once.  The union of two sketches estimates the similarity and filters
-(with the same ``T``); the exact test on full sets decides.
+more private values than it may have is alone at once.  List entries carry 128 bits, one for the smallest value of each bin
+of shingles: sets at the threshold differ in more than ``BITS`` of them with a probability of 1e-12, so most chance
+meetings end in the join itself.  The union of two sketches estimates the similarity and filters (with the same ``T``); the
+exact test decides, on full sets that are read for the documents of the pairs left only.
 
 Links are sought until the groups are certain, but not all links inside a group: each open list sends its members to a
 leader (later 8, 64, ... leaders), pairs that are already in one group are dropped, a leader leaves its list, and a list
@@ -26,10 +28,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from lakegauge.llm.arrow import tokens, with_columns
-from lakegauge.sources.work import written
+from lakegauge.sources.work import dropped, written
 
 K, T = 64, 25
 BRIEF = 24
+BITS, BINS = 44, 32
+_SALTS = np.array([1, 2, 3, 4], np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # BINS bins for each
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 5)
 PERCENT = 80
 FASTER = 8  # from round to round, so many times more leaders a list
 
@@ -67,13 +72,26 @@ def set_class(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-SKETCH = StructType([StructField("n", LongType()), StructField("cls", BinaryType()), StructField("sketch", ArrayType(LongType()))])
+def signature(found: np.ndarray) -> list[int]:
+    """Two numbers of 64 bits: for each bin of each hash the lowest bit of its smallest value, 0 for an empty bin.  Each bin
+    whose smallest value two sets share is equal, so sets of similarity J differ in (1 - J) / 2 of the bits at most."""
+    bits = np.zeros((len(_SALTS), BINS), np.uint8)
+    for row, salt in zip(bits, _SALTS):
+        h = np.sort(mixed(found.view(np.uint64) + salt))
+        at = np.searchsorted(h, _EDGES)
+        filled = np.flatnonzero(np.diff(at, append=len(h)))
+        row[filled] = h[at[filled]] & np.uint64(1)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+SKETCH = StructType([StructField("n", LongType()), StructField("cls", BinaryType()), StructField("sketch", ArrayType(LongType())),
+                     StructField("s1", LongType()), StructField("s2", LongType())])
 
 
 def sketches(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     def make(text):
         found = shingles(text)
-        return len(found), set_class(found) if len(found) else None, found[:K]
+        return len(found), set_class(found) if len(found) else None, found[:K], *signature(found)
 
     return with_columns(docs, [f"cast(`{text_col}` as binary)"], make, SKETCH, keep)
 
@@ -85,14 +103,20 @@ def list_quota(n: Column) -> Column:
 
 
 def listings(classes: DataFrame) -> DataFrame:
-    """(value, c, n): inverted lists of the rarest retained values."""
-    entries = classes.select("c", "n", F.explode("sketch").alias("value"))
+    """(value, c, n, s1, s2): inverted lists of the rarest retained values."""
+    entries = classes.select("c", F.explode("sketch").alias("value"))
     lengths = entries.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
-    shared = entries.join(lengths, "value").groupBy("c", "n").agg(F.collect_list(F.struct("length", "value")).alias("lists"))
+    shared = entries.join(lengths, "value").groupBy("c").agg(F.collect_list(F.struct("length", "value")).alias("lists"))
+    shared = shared.join(classes.select("c", "n", "s1", "s2"), "c")
     private = F.least(F.col("n"), F.lit(K)) - F.size("lists")
     quota = (list_quota(F.col("n")) - private).cast("int")
-    return shared.filter(quota > 0).select("c", "n", F.explode(F.slice(F.sort_array("lists"), F.lit(1), quota)).alias("e")).select(
-        F.col("e.value").alias("value"), "c", "n")
+    return shared.filter(quota > 0).select("c", "n", "s1", "s2", F.explode(F.slice(F.sort_array("lists"), F.lit(1), quota)).alias("e")).select(
+        F.col("e.value").alias("value"), "c", "n", "s1", "s2")
+
+
+def similar_bits(a: str, b: str) -> Column:
+    differ = lambda s: F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s)))
+    return differ("s1") + differ("s2") <= BITS
 
 
 def similar_sizes(a: Column, b: Column) -> Column:
@@ -103,12 +127,14 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose union sketch does not rule the link out.  The ``BRIEF`` smallest values, cut to their upper 32
     bits, go first: a linked pair shares fewer than 4 of 24 with a probability of 2e-12, and most others fall here, before
     whole sketches are shuffled."""
-    brief = lambda x: classes.select(F.col("c").alias(x), F.transform(F.slice("sketch", 1, BRIEF), lambda v: F.shiftright(v, 32).cast("int")).alias(f"s{x}"))
+    asked = lambda x: classes.withColumnRenamed("c", x).join(pairs.select(x).distinct(), x, "left_semi")
+    brief = lambda x: asked(x).select(x, F.transform(F.slice("sketch", 1, BRIEF), lambda v: F.shiftright(v, 32).cast("int")).alias(f"s{x}"))
     near = pairs.join(brief("a"), "a").join(brief("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, BRIEF)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     pairs = near.filter((common >= 4) | (F.size(union) < BRIEF) & (100 * (common + 1) >= PERCENT * F.size(union))).select(*pairs.columns)
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("sketch").alias(f"s{x}"))
+    pairs = written(pairs, "brief")
+    side = lambda x: asked(x).select(x, F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
@@ -162,30 +188,35 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(classes: DataFrame, sets_of) -> DataFrame:
     """(c, g): classes of documents and the smallest class of their group, for all that were merged."""
     lists = written(listings(classes).withColumn("g", F.col("c")), "lists")
-    sets = written(sets_of(lists.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-                           .join(lists, "value").select("c").distinct()), "sets")
-    merged, leaders = lists.select("c", "g").limit(0), 1
+    stored, merged, leaders = lists, lists.select("c", "g").limit(0), 1
     while True:
         # lists whose members are not yet in one group, and their next leaders: the first of each share of the members
         open_lists = lists.groupBy("value").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("value")
         heads = written(lists.join(open_lists, "value").groupBy("value", F.pmod(F.xxhash64("c"), F.lit(leaders)).alias("part"))
-                        .agg(F.min(F.struct("c", "n", "g")).alias("h")).select("value", "h"), "heads")
+                        .agg(F.min(F.struct("c", "n", "g", "s1", "s2")).alias("h")).select("value", "h"), "heads")
         if heads.isEmpty():
             return merged
-        met = lists.join(heads, "value").filter((F.col("g") != F.col("h.g")) & similar_sizes(F.col("n"), F.col("h.n")))
+        met = lists.join(heads, "value").filter(
+            (F.col("g") != F.col("h.g")) & similar_sizes(F.col("n"), F.col("h.n")) & similar_bits("", "h."))
         first = F.col("h.c") < F.col("c")
         this, that = F.struct("c", "g"), F.struct(F.col("h.c").alias("c"), F.col("h.g").alias("g"))
-        pairs = met.select(F.when(first, that).otherwise(this).alias("x"), F.when(first, this).otherwise(that).alias("y")).distinct().select(
-            F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.least("x.g", "y.g").alias("low"), F.greatest("x.g", "y.g").alias("high"))
+        pairs = written(met.select(F.when(first, that).otherwise(this).alias("x"), F.when(first, this).otherwise(that).alias("y")).distinct().select(
+            F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.least("x.g", "y.g").alias("low"), F.greatest("x.g", "y.g").alias("high")), "pairs")
         likely = written(estimated(pairs, classes), "likely")
+        sets = written(sets_of(likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "sets")
         edges = written(confirmed(likely, sets).filter("linked").select("low", "high").distinct(), "edges")
+        for done in (pairs, likely, sets):
+            dropped(done)
         led = heads.select("value", F.col("h.c").alias("c"))
         lists = lists.join(open_lists, "value", "left_semi").join(led, ["value", "c"], "left_anti")
         roots = components(edges)
         if roots is not None:
             lists = moved(lists, roots, "g")
             merged = written(moved(merged, roots, "g").unionByName(roots.select(F.col("node").alias("c"), F.col("root").alias("g"))), "merged")
-        lists = written(lists.select("value", "c", "n", "g"), "lists")
+        before, lists = stored, written(lists.select("value", "c", "n", "s1", "s2", "g"), "lists")
+        stored = lists
+        dropped(before)
+        dropped(heads)
         leaders *= FASTER
 
 
@@ -195,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = written(sketches(numbered, "text", ["row", "doc_id"]), "rows")
     classes = written(rows.filter("n > 0").groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("row").alias("row"), F.min("doc_id").alias("least"))
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.min("row").alias("row"), F.min("doc_id").alias("least"))
         .withColumn("c", F.monotonically_increasing_id()), "classes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -211,11 +242,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return with_columns(numbered.select("row", "text").join(asked, "row"), ["cast(text as binary)", "cls"], full,
                             StructType([StructField("full", BinaryType())]), ["c"])
 
-    merged = groups(classes.select("c", "n", "sketch"), sets_of).withColumnRenamed("g", "root")
+    merged = groups(classes.select("c", "n", "sketch", "s1", "s2"), sets_of).withColumnRenamed("g", "root")
     placed = classes.select("c", "cls", "least").join(merged, "c", "left").withColumn("root", F.coalesce("root", "c"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(placed.join(names, "root").select("cls", "root", "component_id"), "named")
-    out = rows.drop("sketch").join(named, "cls", "left").withColumn(
+    out = rows.drop("sketch", "s1", "s2").join(named, "cls", "left").withColumn(
         "component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("row", "doc_id", F.col("n").alias("n_shingles"), "root", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), named
