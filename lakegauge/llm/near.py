@@ -76,10 +76,10 @@ def signature(found: np.ndarray) -> list[int]:
     """Two numbers of 64 bits: for each bin of each hash the lowest bit of its smallest value, 0 for an empty bin.  Each bin
     whose smallest value two sets share is equal, so sets of similarity J differ in (1 - J) / 2 of the bits at most."""
     bits = np.zeros((len(_SALTS), BINS), np.uint8)
-    for row, salt in zip(bits, _SALTS):
-        h = np.sort(mixed(found.view(np.uint64) + salt))
+    hashes = np.sort(mixed(found.view(np.uint64) + _SALTS[:, None]), axis=1)
+    for row, h in zip(bits, hashes):
         at = np.searchsorted(h, _EDGES)
-        filled = np.flatnonzero(np.diff(at, append=len(h)))
+        filled = np.append(at[1:], len(h)) > at
         row[filled] = h[at[filled]] & np.uint64(1)
     return np.packbits(bits).view(np.int64).tolist()
 
@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Full sets of the wanted classes from the texts of their first rows; the class is checked again."""
-        asked = classes.select("c", "cls", "row").join(wanted, "c", "left_semi")
+        # a written table has a known size: Spark broadcasts a small one, so later rounds need not shuffle the texts
+        asked = written(classes.select("c", "cls", "row").join(wanted, "c", "left_semi"), "asked")
 
         def full(text, cls):
             found = shingles(text)
