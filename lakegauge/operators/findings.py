@@ -166,12 +166,11 @@ CATEGORIES = {
 }
 
 
-def categorize(findings: DataFrame, section_title: str = "section_title") -> DataFrame:
-    """Category by the vocabulary of the stage."""
-    t = F.lower(section_title)
+def categorize(findings: DataFrame, section_title: str = "section_title", title: str = "title") -> DataFrame:
+    """Category by the vocabulary of the stage, read from the section's title; optimizations from the finding's own."""
     out = F.lit("general")
     for stage, (rules, default) in CATEGORIES.items():
-        out = F.when(F.col("stage") == stage, first_rule(t, rules, default)).otherwise(out)
+        out = F.when(F.col("stage") == stage, first_rule(F.lower(title if stage == "optimization" else section_title), rules, default)).otherwise(out)
     return findings.withColumn("category", out)
 
 

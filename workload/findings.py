@@ -55,7 +55,7 @@ def rule_sql(x, rules, default):
 
 
 TAG_SQL = ", ".join(f"{rule_sql('bt' if src == 'both' else 'd', rules, default)} as {n}" for n, (src, rules, default) in fi.TAGS.items())
-CATEGORY_SQL = "case stage " + " ".join(f"when '{st}' then {rule_sql('lower(section_title)', r, df)}" for st, (r, df) in fi.CATEGORIES.items()) + " end"
+CATEGORY_SQL = "case stage " + " ".join(f"when '{st}' then {rule_sql('lower(title)' if st == 'optimization' else 'lower(section_title)', r, df)}" for st, (r, df) in fi.CATEGORIES.items()) + " end"
 SCORE = lambda col, m: f"case {col} " + " ".join(f"when '{k}' then {v}" for k, v in m.items()) + " end"
 FOUND = TITLED + f""", tg as (select *, {TAG_SQL}, {CATEGORY_SQL} as category from (select *, lower(description) as d, lower(title || ' ' || description) as bt from titled)),
  found as (select * exclude (priority), priority as text_priority, case stage when 'analysis' then case when {SCORE('severity', vocab.SEVERITY_SCORES)} + {SCORE('business_impact', vocab.IMPACT_SCORES)} >= 6 then 'critical'
