@@ -6,8 +6,8 @@ values only, as many as a linked pair can be sure to share one of.  For sets up
 sketches of a pair at the threshold share fewer than ``T`` = 25 of 64 values with a probability of 7e-12.  A document with
 more private values than it may have is alone at once.  List entries carry 128 bits, one for the smallest value of each bin
 of shingles: sets at the threshold differ in more than ``BITS`` of them with a probability of 1e-12, so most chance
-meetings end in the join itself.  The union of two sketches estimates the similarity and filters (with the same ``T``); the
-exact test decides, on full sets that are read for the documents of the pairs left only.
+meetings end in the join itself.  Full sets are read for the documents of the pairs left only; on their heads, the sketch of
+the union estimates the similarity and filters (with the same ``T``), and the exact test decides.
 
 Links are sought until the groups are certain, but not all links inside a group: each open list sends its members to a
 leader (later 8, 64, ... leaders), pairs that are already in one group are dropped, a leader leaves its list, and a list
@@ -31,7 +31,6 @@ from lakegauge.llm.arrow import tokens, with_columns
 from lakegauge.sources.work import dropped, written
 
 K, T = 64, 25
-BRIEF = 24
 BITS, BINS = 44, 32
 _SALTS = np.array([1, 2, 3, 4], np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # BINS bins for each
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 5)
@@ -123,32 +122,24 @@ def similar_sizes(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union sketch does not rule the link out.  The ``BRIEF`` smallest values, cut to their upper 32
-    bits, go first: a linked pair shares fewer than 4 of 24 with a probability of 2e-12, and most others fall here, before
-    whole sketches are shuffled."""
-    asked = lambda x: classes.withColumnRenamed("c", x).join(pairs.select(x).distinct(), x, "left_semi")
-    brief = lambda x: asked(x).select(x, F.transform(F.slice("sketch", 1, BRIEF), lambda v: F.shiftright(v, 32).cast("int")).alias(f"s{x}"))
-    near = pairs.join(brief("a"), "a").join(brief("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, BRIEF)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    pairs = near.filter((common >= 4) | (F.size(union) < BRIEF) & (100 * (common + 1) >= PERCENT * F.size(union))).select(*pairs.columns)
-    pairs = written(pairs, "brief")
-    side = lambda x: asked(x).select(x, F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    possible = F.when(F.size(union) < K, 100 * common >= PERCENT * F.size(union)).otherwise(common >= T)
-    return both.filter(possible).select(*pairs.columns)
+def possible(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the sketch of the union, made from the sketches of two sorted sets, leaves room for the threshold."""
+    x, y = x[:K], y[:K]
+    union = np.union1d(x, y)[:K]
+    common = len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True))
+    return 100 * common >= PERCENT * len(union) if len(union) < K else common >= T
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the exact similarity of the full sets at the threshold or above."""
+    """Pairs (a, b) with the exact similarity of the full sets at the threshold or above.  The sketch of a set is its head,
+    so the estimate that spares most exact tests needs no shuffle of its own."""
     side = lambda x: sets.select(F.col("c").alias(x), F.col("full").alias(f"f{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def test(a, b):
         x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+        if not possible(x, y):
+            return (False,)
         common = len(np.intersect1d(x, y, assume_unique=True))
         return (100 * common >= PERCENT * (len(x) + len(y) - common),)
 
@@ -202,10 +193,9 @@ def groups(classes: DataFrame, sets_of) -> DataFrame:
         this, that = F.struct("c", "g"), F.struct(F.col("h.c").alias("c"), F.col("h.g").alias("g"))
         pairs = written(met.select(F.when(first, that).otherwise(this).alias("x"), F.when(first, this).otherwise(that).alias("y")).distinct().select(
             F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.least("x.g", "y.g").alias("low"), F.greatest("x.g", "y.g").alias("high")), "pairs")
-        likely = written(estimated(pairs, classes), "likely")
-        sets = written(sets_of(likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "sets")
-        edges = written(confirmed(likely, sets).filter("linked").select("low", "high").distinct(), "edges")
-        for done in (pairs, likely, sets):
+        sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "sets")
+        edges = written(confirmed(pairs, sets).filter("linked").select("low", "high").distinct(), "edges")
+        for done in (pairs, sets):
             dropped(done)
         led = heads.select("value", F.col("h.c").alias("c"))
         lists = lists.join(open_lists, "value", "left_semi").join(led, ["value", "c"], "left_anti")
