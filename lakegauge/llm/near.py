@@ -181,13 +181,18 @@ def groups(classes: DataFrame, sets_of) -> DataFrame:
     lists = written(listings(classes).withColumn("g", F.col("c")), "lists")
     stored, merged, leaders = lists, lists.select("c", "g").limit(0), 1
     while True:
-        # lists whose members are not yet in one group, and their next leaders: the first of each share of the members
-        open_lists = lists.groupBy("value").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("value")
-        heads = written(lists.join(open_lists, "value").groupBy("value", F.pmod(F.xxhash64("c"), F.lit(leaders)).alias("part"))
-                        .agg(F.min(F.struct("c", "n", "g", "s1", "s2")).alias("h")).select("value", "h"), "heads")
+        # the next leaders of lists whose members are not yet in one group: the first of each share of the members
+        part = F.pmod(F.xxhash64("c"), F.lit(leaders)).alias("part")
+        shares = lists.groupBy("value", part).agg(
+            F.min(F.struct("c", "n", "g", "s1", "s2")).alias("h"), F.min("g").alias("low"), F.max("g").alias("high"))
+        if leaders > 1:
+            shares = written(shares, "shares")
+            spread = shares.groupBy("value").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+            shares = shares.drop("low", "high").join(spread, "value")
+        heads = written(shares.filter("low < high").select("value", "part", "h"), "heads")
         if heads.isEmpty():
             return merged
-        met = lists.join(heads, "value").filter(
+        met = lists.join(heads.select("value", "h"), "value").filter(
             (F.col("g") != F.col("h.g")) & similar_sizes(F.col("n"), F.col("h.n")) & similar_bits("", "h."))
         first = F.col("h.c") < F.col("c")
         this, that = F.struct("c", "g"), F.struct(F.col("h.c").alias("c"), F.col("h.g").alias("g"))
@@ -197,8 +202,8 @@ def groups(classes: DataFrame, sets_of) -> DataFrame:
         edges = written(confirmed(pairs, sets).filter("linked").select("low", "high").distinct(), "edges")
         for done in (pairs, sets):
             dropped(done)
-        led = heads.select("value", F.col("h.c").alias("c"))
-        lists = lists.join(open_lists, "value", "left_semi").join(led, ["value", "c"], "left_anti")
+        led = heads.select("value", "part", F.col("h.c").alias("leader"))
+        lists = lists.withColumn("part", part).join(led, ["value", "part"]).filter("c <> leader").drop("part", "leader")
         roots = components(edges)
         if roots is not None:
             lists = moved(lists, roots, "g")
