@@ -252,9 +252,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one document of each group; documents without words all stay.  ``docs`` must be read in the same
     order twice, as a written table is."""
     rows = near_duplicates(docs, id_col, text_col)[0]
-    first = rows.filter("kept and n_shingles > 0").groupBy("root").agg(F.min("row").alias("__row")).select("__row")
-    stay = first.unionByName(rows.filter("n_shingles = 0").select(F.col("row").alias("__row")))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(stay, "__row", "left_semi").drop("__row")
+    full = rows.filter("n_shingles > 0").withColumnRenamed("row", "__row")
+    first = full.filter("kept").groupBy("root").agg(F.min("__row").alias("__row")).select("__row")
+    # written, so that Spark knows the size and need not shuffle the texts for a small one
+    gone = written(full.select("__row").join(first, "__row", "left_anti"), "gone")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
 
 
 def op4_near_duplicates(spark, sf_dir) -> DataFrame:
