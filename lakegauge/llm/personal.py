@@ -3,8 +3,8 @@
 Base: patterns for email, ip, card and phone on the text as it stands.  On top, transducers rewrite disguises (look-alike
 letters and digits, invisible characters, spelled digits, "at" and "dot" in words or brackets) into a normal form in which
 every character remembers the span of source characters that it came from; the same patterns run on that form, and what
-they find is mapped back to source offsets.  A disguised find is added if it rests on a rewritten place and does not
-overlap a base span of its kind.  All offsets count code points, ends are exclusive.
+they find is mapped back to source offsets.  A disguised find is added if it rests on a rewritten place and no base span of
+its kind covers it wholly: base patterns often find a fragment of a disguised identifier.  All offsets count code points, ends are exclusive.
 
 Every scan is linear in the text: patterns start at fixed points (an ``@``, the first digit of a run, a ``+``) and use
 possessive runs.  Work is per row; nothing is shuffled.
@@ -148,7 +148,7 @@ def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, li
         for start, end in spans:
             a, b = tape.starts[start], max(tape.ends[start:end])
             # rewritten inside, or an invisible character dropped inside
-            if (any(tape.changed[start:end]) or b - a != end - start) and not any(a < y and x < b for x, y in taken):
+            if (any(tape.changed[start:end]) or b - a != end - start) and not any(x <= a and b <= y for x, y in taken):
                 new.append((a, b))
         out[kind] = new
     return out

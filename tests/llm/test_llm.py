@@ -59,6 +59,16 @@ def test_personal_spans():
     assert personal.detect("1" * 200_000)["card"] == [] and personal.detect("a" * 200_000 + "@")["email"] == []
 
 
+def test_disguised_spans_that_hold_a_base_fragment():
+    for t, kind in [("j\u043ehn@ex.org", "email"), ("jo\u200bhn@ex.org", "email"), ("jo\uff48n@ex.org", "email"), ("jane@example.c\u043em", "email"),
+                    ("john@mail.example dot com", "email"), ("+49 30 1234 five six seven", "phone")]:
+        base, every = personal.find(f"see {t}, or")
+        assert (kind, 4, 4 + len(t)) in every and set(base) <= set(every), t
+        spans = [{"kind": k, "start": a, "end": b} for k, a, b in every]
+        assert personal.redact(f"see {t}, or", spans) == f"see [{kind.upper()}], or"
+    assert personal.find("a jo@ex.org b\u043e")[1] == [("email", 2, 11)]  # rewriting elsewhere adds nothing
+
+
 def brute_groups(rows):
     sets = []
     for _, text, _ in rows:
