@@ -1,6 +1,6 @@
 """Near-duplicate groups from bottom-k sketches.
 
-One hash function orders the two-word shingles; the ``K`` smallest values of a document are its sketch.  Inverted lists
+One hash function orders the shingles of ``width`` words (two by default); the ``K`` smallest values of a document are its sketch.  Inverted lists
 of retained values generate candidates: the length of each list is known, every document enters the lists of its rarest
 values only, as many as a linked pair can be sure to share one of.  For sets up to ``K`` that is certain; beyond, two
 sketches of a pair at the threshold share fewer than ``T`` = 25 of 64 values with a probability of 7e-12.  A document with
@@ -34,7 +34,7 @@ K, T = 64, 25
 BITS, BINS = 44, 32
 _SALTS = np.array([1, 2, 3, 4], np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # BINS bins for each
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 5)
-PERCENT = 80
+WIDTH, PERCENT = 2, 80
 FASTER = 8  # from round to round, so many times more leaders a list
 
 
@@ -57,14 +57,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _known = Hashes()
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of two-word shingles (of the whole sequence, if it is shorter)."""
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of shingles of ``width`` words (of the whole sequence, if it is shorter)."""
     words = tokens(text)
     if not words:
         return np.empty(0, np.int64)
     h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    pairs = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(h[1:])) if len(h) > 1 else mixed(h)
-    return np.unique(pairs.view(np.int64))
+    size = min(width, len(h))
+    n = len(h) - size + 1
+    found = mixed(h[size - 1:])
+    for i in range(size - 2, -1, -1):
+        found = mixed(h[i:i + n] * np.uint64(0x9E3779B97F4A7C15) + found)
+    return np.unique(found.view(np.int64))
 
 
 def set_class(found: np.ndarray) -> bytes:
@@ -87,9 +91,9 @@ SKETCH = StructType([StructField("n", LongType()), StructField("cls", BinaryType
                      StructField("s1", LongType()), StructField("s2", LongType())])
 
 
-def sketches(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+def sketches(docs: DataFrame, text_col: str, keep: list[str], width: int = WIDTH) -> DataFrame:
     def make(text):
-        found = shingles(text)
+        found = shingles(text, width)
         return len(found), set_class(found) if len(found) else None, found[:K], *signature(found)
 
     return with_columns(docs, [f"cast(`{text_col}` as binary)"], make, SKETCH, keep)
@@ -215,11 +219,11 @@ def groups(classes: DataFrame, sets_of) -> DataFrame:
         leaders *= FASTER
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Two frames: rows (row, doc_id, n_shingles, root, component_id, kept), row being the number of the row in
     ``docs``, and the classes (cls, root, component_id)."""
     numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = written(sketches(numbered, "text", ["row", "doc_id"]), "rows")
+    rows = written(sketches(numbered, "text", ["row", "doc_id"], width), "rows")
     classes = written(rows.filter("n > 0").groupBy("cls").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.min("row").alias("row"), F.min("doc_id").alias("least"))
         .withColumn("c", F.monotonically_increasing_id()), "classes")
@@ -230,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         asked = written(classes.select("c", "cls", "row").join(wanted, "c", "left_semi"), "asked")
 
         def full(text, cls):
-            found = shingles(text)
+            found = shingles(text, width)
             if set_class(found) != cls:
                 raise ValueError("the documents were read in another order; write them first")
             return (found.tobytes(),)
@@ -248,10 +252,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), named
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with one document of each group; documents without words all stay.  ``docs`` must be read in the same
     order twice, as a written table is."""
-    rows = near_duplicates(docs, id_col, text_col)[0]
+    rows = near_duplicates(docs, id_col, text_col, width)[0]
     full = rows.filter("n_shingles > 0").withColumnRenamed("row", "__row")
     first = full.filter("kept").groupBy("root").agg(F.min("__row").alias("__row")).select("__row")
     # written, so that Spark knows the size and need not shuffle the texts for a small one

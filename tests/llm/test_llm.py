@@ -94,6 +94,26 @@ def test_near_duplicates_equal_brute_force(docs):
     assert near.near_duplicates(docs.limit(0))[0].count() == 0
 
 
+def test_pipeline_stage_takes_five_words(spark, tmp_path):
+    import corpus_pipeline
+
+    base = [f"q{i}" for i in range(100)]
+    changed = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(base))
+    texts = [changed(), changed(10, 30, 50, 70, 90), changed(50), changed(50, 51), changed(0, 99), "a b c", "a b c", "a b", None, "", "a b c d e f", "a b c d e"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    cut = lambda w: {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    sets = [cut((t or "").split()) for t in texts]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    group[i] = group[j] = min(group[i], group[j])
+    left = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), None)
+    assert sorted(r.doc_id for r in left.collect()) == sorted({i for i, g in enumerate(group) if g == i})
+    assert group[1] == 1  # five words of a hundred changed: stays
+
+
 def test_mix_meets_targets(docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(DOCS) and set(docs.columns) <= set(got[0].asDict())
