@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 import pytest
 from lakegauge.llm import chat, cleaning, decontaminate, mixing, near, passages, personal, suffix_tree, suffixes, warc
@@ -136,6 +137,44 @@ def test_fuzzy_passages(docs):
     assert passages.shared_passages(docs.limit(0)).count() == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_fuzzy_passages_are_all_found(spark, tmp_path):
+    """Planted passages of 80 to 95 %, and passages whose seeds stood in earlier documents."""
+    rnd = random.Random(7)
+    alone = lambda n: [f"u{rnd.randrange(10 ** 9)}" for _ in range(n)]
+    texts, planted = [], []
+    for n in (52, 60, 100, 150):
+        for changed in (0.05, 0.1, 0.15, 0.19, None):
+            core = alone(n)
+            at = set(range(5, n, 6)) if changed is None else set(rnd.sample(range(1, n - 1), int(n * changed)))
+            other = [alone(1)[0] if i in at else w for i, w in enumerate(core)]
+            planted.append((len(texts), len(texts) + 1))
+            texts += [alone(40) + core + alone(40), alone(90) + other + alone(10)]
+    parts, split = alone(60), len(texts)  # both halves stood in earlier documents
+    texts += [alone(50) + parts[:30] + alone(50), alone(50) + parts[30:] + alone(50), alone(20) + parts + alone(20), alone(60) + parts + alone(5)]
+    planted.append((split + 2, split + 3))
+    whole, variant = alone(60), len(texts)  # the first holder is a variant under 80 %
+    texts += [alone(30) + [w if i % 20 < 14 else f"v{i}" for i, w in enumerate(whole)] + alone(30), alone(20) + whole + alone(9), whole + alone(70)]
+    planted.append((variant + 1, variant + 2))
+    again, places = alone(70), len(texts)  # seeds that stood in the same document before, in pieces
+    texts += [alone(5) + again[:25] + alone(90) + again[25:50] + alone(90) + again + alone(60), alone(8) + again + alone(30)]
+    planted.append((places, places + 1))
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = passages.shared_passages(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert {(r.other_id, r.doc_id) for r in got} == set(planted)
+    for r in got:
+        a, b = texts[r.doc_id][r.start:r.end], texts[r.other_id][r.other_start:r.other_end]
+        assert min(len(a), len(b)) > 50 and r.n_matched == lcs(a, b) and r.percent == 100 * r.n_matched // max(len(a), len(b)) >= 80
+
+
 def test_suffix_dedup_equals_brute_force(spark, docs):
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r["kept"])).hexdigest())
                               for r in suffixes.remove_repeats(docs).collect())
