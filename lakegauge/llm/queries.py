@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lakegauge.llm import chat, cleaning, decontaminate, mixing, near, passages, personal, suffix_tree, suffixes, warc
+from lakegauge.llm import (chat, cleaning, decontaminate, mixing, near, negatives, passages, personal, suffix_tree, suffixes,
+                           warc, whitening, winnowing)
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_quality_rules": cleaning.op9_quality_rules,
     "op10_suffix_tree_scores": suffix_tree.op10_suffix_tree_scores,
+    "op11_fingerprints": winnowing.op11_fingerprints,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_whiten": whitening.op13_whiten,
 }
 
 ORACLES = {
@@ -23,4 +27,6 @@ ORACLES = {
     "op4_near_duplicates": near.ORACLE,
     "op8_chat": chat.ORACLE,
     "op9_quality_rules": cleaning.ORACLE,
+    "op11_fingerprints": winnowing.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
