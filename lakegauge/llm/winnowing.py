@@ -1,10 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every run of ``k`` characters has a cyclic-polynomial rolling hash of 48 bits: the hashes of its characters, each turned
-left by one bit for every character after it, joined by exclusive or.  The hash of a run is rolled up from those of its
-parts (the hash of 32 characters is that of the first 16, turned by 16, with that of the last 16), so every character
-is hashed once.  Of every ``w`` neighbouring runs the one with the smallest hash is chosen, the rightmost one of equal
-ones, and kept with its position.  Two texts that share ``w + k - 1`` characters in a row share a chosen hash.
+Every run of ``k`` characters has a rolling hash: the hashes of its characters, each shifted left by one bit for every
+character after it, joined by exclusive or, so that stepping on by a character shifts the oldest one out and takes the
+new one in.  The hash of a run is rolled up from those of its halves (the first one shifted, joined with the second), so
+every character is hashed once and four passes over whole arrays serve runs of 16; neighbouring minima are taken alike.
+Of every ``w`` neighbouring runs the one with the smallest hash is chosen, the rightmost one of equal ones, and kept
+with its position.  Two texts that share ``w + k - 1`` characters in a row share a chosen hash.
 
 Long texts are worked through in chunks of a few thousand windows inside their row, so no array grows with the text but
 the chosen runs.
@@ -16,20 +17,19 @@ Defined cases: a null text counts as empty and has no runs; a text shorter than
 characters, at position 0; one with fewer than ``w`` runs is one window.  ``likeness`` is the share of common hashes among
 all hashes of two fingerprints (Jaccard); two empty fingerprints are alike (1), an empty and another one are not (0).
 Repeated rows get equal fingerprints; extra columns are kept, those named like a result are replaced.  For the next
-document, ids are numbers in ascending order with null ids last; rows of one id are ordered by the SHA-256 of their text
+document, ids are numbers in ascending order with null ids last; rows of one id are ordered by their text
 and stand in one bucket, which may spill; a table of one row follows itself.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-K, W = 32, 64  # characters a run, runs a window: 95 common characters in a row are sure to be found
+K, W = 16, 64  # characters a run, runs a window: 79 common characters in a row are sure to be found
 CHUNK = 4096  # windows hashed at once
-BITS = 48
-PLACE_BITS = 15  # position within a chunk
+BITS = 49  # of a hash; the bits below hold the position within a chunk
+PLACE_BITS = 15
+CHARACTER = 0x2B7E151628B  # a character's hash is its code point times this odd number, in the low 49 bits
 ENTRIES = "array<struct<at:bigint,hash:bigint>>"
 BUCKETS_A_PARTITION, MOST_BUCKETS = 16, 10_000
 
@@ -43,63 +43,51 @@ def chain(value: Column, steps) -> Column:
     return let(value, lambda v: chain(steps[0](v), steps[1:])) if steps else value
 
 
-def turned(x: Column, r: int) -> Column:
-    return F.shiftleft(x.bitwiseAND(F.lit((1 << (BITS - r)) - 1)), r).bitwiseOR(F.shiftright(x, BITS - r)) if r else x
-
-
 def character_hash(c: Column) -> Column:
-    code = F.ascii(c).cast("bigint")
-    a = (code * 1103515245 + 12345) % 2147483647
-    return (a * a + code) % 281474976710597
+    """The hash in the upper bits; whole numbers of 64 bits wrap around in shifts."""
+    return F.shiftleft(F.ascii(c) * F.lit(CHARACTER), PLACE_BITS)
 
 
-def _factors(n: int) -> list[int]:
+def _doublings(n: int) -> list[int]:
     if n < 1 or n & (n - 1):
         raise ValueError("k and w are powers of two")
-    return [] if n == 1 else [2] if n == 2 else [4, *_factors(n // 4)]
+    return [1 << i for i in range(n.bit_length() - 1)]
 
 
-def _grouped(n: int, combine):
-    """Steps from values of single places to values of ``n`` neighbouring places."""
-    steps, step = [], 1
-    for radix in _factors(n):
-        steps.append(lambda m, step=step, radix=radix: F.transform(
-            F.slice(m, F.lit(1), F.size(m) - (radix - 1) * step),
-            lambda x, i: combine([x, *[F.get(m, i + j * step) for j in range(1, radix)]], step)))
-        step *= radix
-    return steps
+def _paired(n: int, combine):
+    """Steps from values of single places to values of ``n`` neighbouring places; the last ``n - 1`` places are short."""
+    return [lambda m, s=s: F.zip_with(m, F.slice(m, F.lit(s + 1), F.size(m)), lambda x, y: combine(x, y, s)) for s in _doublings(n)]
 
 
-def _rolled(parts, step):
-    return reduce(lambda a, b: a.bitwiseXOR(b), [turned(p, (len(parts) - 1 - j) * step) for j, p in enumerate(parts)])
+def hash_of(key: Column) -> Column:
+    """The greatest key has the smallest hash; equal hashes are told apart by position, the rightmost one first."""
+    return F.lit((1 << (BITS - 1)) - 1) - F.shiftright(key, PLACE_BITS)
 
 
 def _chosen(text: Column, k: int, w: int) -> Column:
-    """Keys (hash above, place from the right below) of the windows' minima of a text of at least ``k`` characters."""
-    last = (1 << PLACE_BITS) - 1
-    keyed = lambda h: F.transform(h, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(F.lit(last).cast("bigint") - i))
-    minima = lambda m: F.when(F.size(m) < w, F.array(F.array_min(m))).otherwise(
-        F.array_distinct(chain(m, _grouped(w, lambda parts, step: F.least(*parts)))))
+    """Keys of the windows' minima of a text of at least ``k`` characters."""
+    keyed = lambda h: F.transform(h, lambda x, i: x.bitwiseOR(i.cast("bigint")))
+    runs = F.length(text) - (k - 1)
+    minima = lambda m: F.when(runs < w, F.array(F.array_max(m))).otherwise(F.array_distinct(F.slice(
+        chain(m, _paired(w, lambda x, y, s: F.greatest(x, y))), F.lit(1), runs - (w - 1))))
     characters = F.transform(F.split(text, ""), character_hash)
-    return chain(characters, [*_grouped(k, _rolled), keyed, minima])
+    rolled = _paired(k, lambda x, y, s: F.shiftleft(x, s).bitwiseXOR(y))
+    return chain(characters, [*rolled, keyed, minima])
 
 
 def winnow(text: Column, n: Column, k: int = K, w: int = W) -> Column:
     """Chosen runs (position from 0, hash) of a text of ``n`` characters, by position."""
-    if k > 32:
-        raise ValueError("k is at most 32")
-    last = (1 << PLACE_BITS) - 1
     windows = F.greatest(n - (k + w - 2), F.lit(1))
-    whole = F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), lambda h, c: turned(h, 1).bitwiseXOR(character_hash(c)))
+    whole = F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), lambda h, c: F.shiftleft(h, 1).bitwiseXOR(character_hash(c)))
 
     def chunk(c):
         part = F.substr(text, (c * CHUNK + 1).cast("int"), F.lit(CHUNK + w + k - 2))
-        return F.transform(_chosen(part, k, w), lambda x: F.struct(
-            (c * CHUNK + last - x.bitwiseAND(F.lit(last))).alias("at"), F.shiftright(x, PLACE_BITS).alias("hash")))
+        return let(part, lambda p: F.transform(_chosen(p, k, w), lambda x: F.struct(
+            (c * CHUNK + x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).alias("at"), hash_of(x).alias("hash"))))
 
     chunks = F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((windows - 1) / CHUNK)), chunk))
     return (F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast(ENTRIES))
-            .when(n < k, F.array(F.struct(F.lit(0).cast("bigint").alias("at"), whole.alias("hash"))))
+            .when(n < k, F.array(F.struct(F.lit(0).cast("bigint").alias("at"), hash_of(whole).alias("hash"))))
             .when(windows <= CHUNK, chunks).otherwise(joined(chunks)))
 
 
@@ -149,7 +137,7 @@ def _bounds(keys: DataFrame, count: int) -> list:
     return [] if row["least"] is None else sorted({row["least"], *row["cuts"]})
 
 
-def with_next(docs: DataFrame, id_col: str, columns: dict[str, str], tie: Column) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, columns: dict[str, str], tie_col: str) -> DataFrame:
     """``docs`` with columns of the next row by ascending id (``columns``: name of the result to column of the row).
 
     One shuffle: rows go to buckets of neighbouring ids, cut at ids of the table, and the first row of a bucket also
@@ -174,10 +162,10 @@ def with_next(docs: DataFrame, id_col: str, columns: dict[str, str], tie: Column
     places = F.when(F.col("__key") == F.col("__cut"), F.array(
         place(b, 0, False), F.when(b == 0, place(F.lit(len(bounds) - 1), 1, True)).otherwise(place(b - 1, 0, True)))
     ).otherwise(F.array(place(b, 0, False)))
-    placed = frame.select(*[F.col(quoted(c)) for c in docs.columns], "__key", F.explode(places).alias("__place"), tie.alias("__tie"))
-    order = Window.partitionBy("__place.bucket").orderBy("__place.late", "__key", "__tie", "__place.copy")
+    placed = frame.select(*[F.col(quoted(c)) for c in docs.columns], "__key", F.explode(places).alias("__place"))
+    order = Window.partitionBy("__place.bucket").orderBy("__place.late", "__key", F.col(quoted(tie_col)), "__place.copy")
     return (placed.select("*", *[F.lead(F.col(quoted(c))).over(order).alias(name) for name, c in columns.items()])
-            .filter("not __place.copy").drop("__key", "__place", "__tie"))
+            .filter("not __place.copy").drop("__key", "__place"))
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
@@ -187,7 +175,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     """
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     own = fingerprints(docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text")), "text", k, w)
-    two = with_next(own, "id", {"next_text": "text", "next_chars": "n_chars", "next_entries": "entries"}, F.sha2("text", 256))
+    two = with_next(own, "id", {"next_text": "text", "next_chars": "n_chars", "next_entries": "entries"}, "text")
     half = F.floor(F.col("n_chars") / 2)
     three = two.select("*", (F.col("n_chars") - half).alias("stays"), F.least(half, F.col("next_chars")).alias("comes"))
     four = three.select("*", F.concat(F.substr("text", F.lit(1), F.col("stays").cast("int")),
@@ -220,20 +208,14 @@ def op11_fingerprints(spark, sf_dir) -> DataFrame:
                         likeness(F.col("entries"), F.col("next_entries")).alias("near_next"))
 
 
-def _sql_turned(x: str, r) -> str:
-    return f"((({x} & ((1::bigint << ({BITS} - {r})) - 1)) << {r}) | ({x} >> ({BITS} - {r})))"
-
-
 def _sql_doubled() -> str:
-    steps, name, width = [], "c1", 1
-    while width < K:
-        x = f"lead(h, {width}) over (partition by k, part order by i)"
-        steps.append(f"c{2 * width} as (select k, part, i, n, t, xor({_sql_turned('h', width)}, {x}) as h from {name})")
-        width *= 2
-        name = f"c{width}"
+    steps = [f"c{2 * s} as (select k, part, i, n, xor((h & {(1 << (BITS - s)) - 1}) << {s}, lead(h, {s}) over (partition by k, part order by i)) as h from c{s})"
+             for s in _doublings(K)]
     return ", ".join(steps)
 
 
+_HASH = f"({(1 << BITS) - 1} - xor(h, {1 << (BITS - 1)}))"
+
 #: every window of both texts, one by one
 ORACLE = f"""
 with d as (select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id) as k from documents),
@@ -241,15 +223,15 @@ p as (select *, length(t) as n, coalesce(lead(t) over (order by k), first_value(
 e as (select k, doc_id, n, t, substr(t, 1, n - n // 2) || substr(u, 1, n // 2) as x from p),
 both_texts as (select k, 0 as part, t as s, n from e union all select k, 1, x, length(x) from e),
 ch as (select k, part, n, unnest(regexp_extract_all(s, '(?s).')) as c, unnest(range(0, n)) as i from both_texts where n > 0),
-co as (select k, part, n, i, unicode(c)::bigint as v, (unicode(c)::bigint * 1103515245 + 12345) % 2147483647 as a from ch),
-c1 as (select k, part, n, i, 0 as t, (a * a + v) % 281474976710597 as h from co),
+c1 as (select k, part, n, i, (unicode(c)::bigint * {CHARACTER}) & {(1 << BITS) - 1} as h from ch),
 {_sql_doubled()},
-g as (select k, part, n, i, h::hugeint * {1 << 24} + {(1 << 24) - 1} - i as key from c{K} where i <= n - {K}),
+g as (select k, part, n, i, {_HASH}::hugeint * {1 << 24} + {(1 << 24) - 1} - i as key from c{K} where i <= n - {K}),
 m as (select k, part, n, i, min(key) over (partition by k, part order by i rows between current row and {W - 1} following) as key from g),
 s as (select distinct k, part, key from m where i <= greatest(n - {K} - {W - 1}, 0)),
 z as (select k, part, (key // {1 << 24})::bigint as hash, ({(1 << 24) - 1} - key % {1 << 24})::bigint as pos from s
       union all
-      select k, part, bit_xor({_sql_turned('h', '(n - 1 - i)')}), 0 from c1 where n < {K} group by k, part),
+      select k, part, {_HASH}, 0 from (select k, part, bit_xor(((h & ((1::bigint << ({BITS} - (n - 1 - i))) - 1)) << (n - 1 - i))) as h
+                                       from c1 where n < {K} group by k, part)),
 f as (select k, part, string_agg(hash::varchar || ':' || pos::varchar, ',' order by pos) as fp, list_distinct(list(hash)) as hs from z group by k, part),
 j as (select e.*, coalesce(a.fp, '') as fa, coalesce(b.fp, '') as fb, coalesce(a.hs, []) as ha, coalesce(b.hs, []) as hb
       from e left join f a on a.k = e.k and a.part = 0 left join f b on b.k = e.k and b.part = 1),
