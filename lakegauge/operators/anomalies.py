@@ -44,8 +44,7 @@ def iqr_outliers(number_rows: DataFrame, quartiles: DataFrame | None = None,
                  factor: float = 1.5, examples: int = 5) -> DataFrame:
     """Values below Q1 - 1.5 IQR or above Q3 + 1.5 IQR."""
     if quartiles is None:
-        sizes = number_rows.groupBy(*KEYS).agg(F.count("v").alias("non_null_count"))
-        quartiles = quantiles(number_rows, QUARTILES).join(sizes, KEYS)
+        quartiles = quantiles(number_rows, QUARTILES, with_size=True)
     reach = (F.col("q3") - F.col("q1")) * factor
     bounds = quartiles.select(*KEYS, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"),
                               F.col("non_null_count").alias("size"))

@@ -26,6 +26,20 @@ def test_quantiles_are_exact_with_narrow_enclosures(spark, values):
         assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
+def test_quantiles_need_no_good_cuts(spark, monkeypatch):
+    """Values over many magnitudes, repeated and infinite ones, with few rows ranked one by one: several rounds."""
+    monkeypatch.setattr(nu, "SMALL", 20)
+    rng, inf = random.Random(9), float("inf")
+    values = [0.0] * 300 + [rng.lognormvariate(0, 30) for _ in range(1500)] + [-1e308, 1e308, -inf, inf, inf]
+    got = nu.quantiles(numbers(spark, values), {**nu.QUARTILES, **nu.PERCENTILES, "p0": 0.0, "p100": 1.0}, accuracy=10).first()
+    want = sorted(values)
+    for name, p in {**nu.QUARTILES, **nu.PERCENTILES}.items():
+        at = p * (len(want) - 1)
+        a, b = want[int(at)], want[min(int(at) + 1, len(want) - 1)]
+        assert got[name] == pytest.approx(a + (b - a) * (at - int(at)), rel=1e-12)
+    assert (got["p0"], got["p100"]) == (-inf, inf)
+
+
 def test_quantiles_do_not_depend_on_partitioning(spark):
     rng = random.Random(5)
     rows = numbers(spark, [rng.choice([1.0, 1.0, rng.random()]) for _ in range(5000)])
