@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakegauge.functions import vocab
 from lakegauge.functions.exprs import contains_any, fixed
 from lakegauge.operators.classify import singular
-from lakegauge.operators.values import distinct_values
+from lakegauge.operators.values import cells, present, value_counts
 
 
 def type_family(data_type: Column) -> Column:
@@ -269,66 +269,94 @@ def similarity_advice(similar: DataFrame) -> DataFrame:
 
 # --- by values ----------------------------------------------------------------------
 
-def containment_candidates(stats: DataFrame, min_distinct: int = 2) -> DataFrame:
-    """Integer column pairs worth a value check.
+PAIR = ["from_table", "from_column", "to_table", "to_column"]
 
-    A target is unique in its table; a source's range lies inside the target's
-    range.  Pairs share the column name without its prefix up to the first
-    underscore (an addition of this library, marked ``prefix_stripped``), so no pair
-    without a common match key is formed.  Pairs from the name rules can be given
-    to ``verified_foreign_keys`` instead.
+
+def inclusion_candidates(catalog: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """Ordered column pairs to be checked by value, with the rule that matched them (``matched_by``).
+
+    Columns of different tables and equal type families meet if their names are equal (``equal_name``) or equal
+    without the prefix up to the first underscore (``prefix_stripped``, an addition of this library).  ``named``
+    adds pairs of the name rules (columns of ``PAIR``) in both directions (``name_rule``): which side is the key is
+    decided by the values.  Columns of arrays, maps and structs take no part.
     """
-    name = F.lower("column_name")
-    key = F.regexp_replace(name, "^[a-z]+_", "")
-    s = stats.withColumn("key", key)
-    a = s.where(F.col("distinct_count") >= min_distinct).select(
-        "key", F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"),
-        F.col("min_value").alias("a_min"), F.col("max_value").alias("a_max"), F.col("family").alias("a_family"))
-    b = s.where((F.col("distinct_count") == F.col("non_null_count")) & (F.col("non_null_count") > 0)).select(
-        "key", F.col("table_name").alias("to_table"), F.col("column_name").alias("to_column"),
-        F.col("min_value").alias("b_min"), F.col("max_value").alias("b_max"), F.col("family").alias("b_family"))
-    return (a.join(b, "key").where("from_table <> to_table and a_family = b_family and a_min >= b_min and a_max <= b_max")
-            .select("from_table", "from_column", "to_table", "to_column",
-                    F.when(F.lower("from_column") == F.lower("to_column"), "equal_name")
-                    .otherwise("prefix_stripped").alias("matched_by")))
-
-
-def value_containment(values: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Distinct source values found among the target's values, per candidate pair.
-
-    ``values`` are distinct values per column, counted once for all pairs.  Each
-    source value meets the target through an equi-join on (table, column, value),
-    whose keys are unique on the target side: there is no hot key, and nothing
-    is collected.
+    family = type_family(F.col("data_type"))
+    plain = catalog.where(~F.col("data_type").rlike("^(array|map|struct)")).select(
+        "table_name", "column_name", family.alias("family"),
+        F.regexp_replace(F.lower("column_name"), "^[a-z]+_", "").alias("key"))
+    side = lambda p: plain.select("key", "family", F.col("table_name").alias(p + "_table"), F.col("column_name").alias(p + "_column"))
+    equal = F.lower("from_column") == F.lower("to_column")
+    found = (side("from").join(side("to"), ["key", "family"]).where("from_table <> to_table")
+             .select(*PAIR, "family", F.when(equal, 1).otherwise(2).alias("rule")))
+    if named is not None:
+        there = named.select(*PAIR)
+        back = named.select(*[F.col(c).alias(n) for c, n in zip(["to_table", "to_column", "from_table", "from_column"], PAIR)])
+        kinds = lambda p: plain.select(F.col("table_name").alias(p + "_table"), F.col("column_name").alias(p + "_column"),
+                                       F.col("family").alias(p + "_family"))
+        both = (there.unionByName(back).where("from_table <> to_table").join(kinds("from"), ["from_table", "from_column"])
+                .join(kinds("to"), ["to_table", "to_column"]).where("from_family = to_family"))
+        found = found.unionByName(both.select(*PAIR, F.col("from_family").alias("family"), F.lit(3).alias("rule")))
+    rules = F.array(F.lit("equal_name"), F.lit("prefix_stripped"), F.lit("name_rule"))
+    return (found.groupBy(*PAIR, "family").agg(F.min("rule").alias("rule"))
+            .select(*PAIR, "family", rules[F.col("rule") - 1].alias("matched_by")))
+
+
+def inclusion_dependencies(tables: dict[str, DataFrame], candidates: DataFrame, min_distinct: int = 1) -> DataFrame:
+    """Which candidate columns hold only values of another one: source, contained and orphan counts per pair.
+
+    Every table is scanned once.  Its cells are counted by value, then one shuffle by value gathers the columns that
+    hold it (at most as many as the candidates have), from which each value adds to the counts of all its pairs at once;
+    counts are combined per task, so nothing grows with the number of rows but the two shuffles of distinct values.
+    Targets are unique columns; numeric sources lie inside the target's range.  Long texts are compared by digest.
+    NULLs belong to no column; a pair whose source has no value is left out.
     """
-    v = values.select("table_name", "column_name", "value", "digest", "n")
-    source = v.join(candidates.select(
-        F.col("from_table").alias("table_name"), F.col("from_column").alias("column_name"), "to_table", "to_column"),
-        ["table_name", "column_name"])
-    target = v.select(F.col("table_name").alias("to_table"), F.col("column_name").alias("to_column"),
-                      F.coalesce("value", "digest").alias("k"), F.col("digest").isNotNull().alias("long"),
-                      F.lit(1).alias("hit"))
-    met = (source.withColumn("k", F.coalesce("value", "digest")).withColumn("long", F.col("digest").isNotNull())
-           .join(target, ["to_table", "to_column", "k", "long"], "left"))
-    found = met.groupBy(F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"),
-                        "to_table", "to_column").agg(
-        F.count(F.lit(1)).alias("source_values"), F.count("hit").alias("contained_values"),
-        F.coalesce(F.sum(F.when(F.col("hit").isNull(), F.col("n"))), F.lit(0)).alias("orphan_rows"))
-    return found.withColumn("containment", F.col("contained_values") / F.col("source_values"))
-
-
-def verified_foreign_keys(tables: dict[str, DataFrame], stats: DataFrame, candidates: DataFrame | None = None,
-                          columns: dict[str, list[str]] | None = None) -> DataFrame:
-    """Value containment of all candidate pairs over the whole tables."""
-    candidates = containment_candidates(stats) if candidates is None else candidates
-    values = None
-    for name, df in tables.items():
-        wanted = (columns or {}).get(name)
-        if wanted is not None and not wanted:
-            continue
-        one = distinct_values(df, name, wanted)
-        values = one if values is None else values.unionByName(one)
-    return value_containment(values, candidates)
+    pairs = [tuple(r) for r in candidates.select(*PAIR, "family", "matched_by").collect()]  # names: bounded by the catalog
+    columns = sorted({(t, c) for p in pairs for t, c in (p[:2], p[2:4])})
+    number = {c: i for i, c in enumerate(columns)}
+    spark = candidates.sparkSession
+    targets: dict[int, list] = {i: [] for i in range(len(columns))}
+    roles: dict[int, list] = {i: [] for i in range(len(columns))}
+    for k, p in enumerate(pairs):
+        a, b = number[p[:2]], number[p[2:4]]
+        targets[a].append((k, b))
+        roles[a].append((k, 1))
+        roles[b].append((k, 2))
+    known = spark.createDataFrame(
+        [(*c, i, targets[i], roles[i]) for c, i in number.items()],
+        "table_name string, column_name string, id int, targets array<struct<pair:int,to:int>>, roles array<struct<pair:int,side:int>>")
+    named = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "pair int, " + ", ".join(f"{c} string" for c in PAIR) + ", family string, matched_by string")
+    wanted: dict[str, list[str]] = {}
+    for t, c in columns:
+        wanted.setdefault(t, []).append(c)
+    all_cells = [cells(tables[t], t, cs) for t, cs in wanted.items()]
+    if not all_cells:
+        return (named.select(*PAIR, "matched_by", *[F.lit(0).cast("bigint").alias(c) for c in ("source_values", "contained_values", "orphan_rows")],
+                             F.lit(0.0).alias("containment")))
+    counted = present(value_counts(reduce(DataFrame.unionByName, all_cells)))
+    # broadcast: one row per candidate column
+    held = counted.join(F.broadcast(known.select("table_name", "column_name", "id")), ["table_name", "column_name"]).select(
+        F.coalesce("value", "digest").alias("k"), F.col("digest").isNotNull().alias("long"), F.struct("id", "n").alias("holder"))
+    by_value = held.groupBy("k", "long").agg(F.collect_list("holder").alias("holders"))  # at most one holder a column
+    one = by_value.select(F.when(~F.col("long"), F.expr("try_cast(k as double)")).alias("v"), "holders", F.explode("holders").alias("h"))
+    met = one.select("v", F.transform("holders", lambda h: h["id"]).alias("ids"), F.col("h.id").alias("id"), F.col("h.n").alias("n")).join(
+        F.broadcast(known.select("id", "targets")), "id")
+    own = F.struct(F.lit(0).alias("kind"), F.col("id").alias("ref"), F.lit(False).alias("hit"), "n", "v")
+    tested = F.transform("targets", lambda t: F.struct(F.lit(1).alias("kind"), t["pair"].alias("ref"),
+                                                       F.array_contains("ids", t["to"]).alias("hit"), F.col("n").alias("n"), F.col("v").alias("v")))
+    sums = met.select(F.inline(F.concat(F.array(own), tested))).groupBy("kind", "ref").agg(
+        F.count(F.lit(1)).alias("values"), F.count_if("hit").alias("hits"), F.sum(F.when(~F.col("hit"), F.col("n"))).alias("missed"),
+        F.max("n").alias("most"), F.min("v").alias("low"), F.max("v").alias("high"))
+    # a column's own counts go to all its pairs; one row per column and pair from here on
+    placed = sums.join(F.broadcast(known.select(F.lit(0).alias("kind"), F.col("id").alias("ref"), "roles")), ["kind", "ref"], "left").select(
+        "*", F.explode(F.coalesce("roles", F.array(F.struct(F.col("ref").alias("pair"), F.lit(0).alias("side"))))).alias("r"))
+    of = lambda side, c: F.max(F.when(F.col("r.side") == side, F.col(c)))
+    whole = placed.groupBy(F.col("r.pair").alias("pair")).agg(
+        of(0, "values").alias("source_values"), of(0, "hits").alias("contained_values"), of(0, "missed").alias("orphan_rows"),
+        of(2, "most").alias("most"), of(1, "low").alias("a_low"), of(1, "high").alias("a_high"), of(2, "low").alias("b_low"), of(2, "high").alias("b_high"))
+    inside = (F.col("family") != "integer") | ((F.col("a_low") >= F.col("b_low")) & (F.col("a_high") <= F.col("b_high")))
+    return (whole.join(F.broadcast(named), "pair").where((F.col("source_values") >= min_distinct) & (F.col("most") == 1) & inside)
+            .select(*PAIR, "matched_by", "source_values", "contained_values", F.coalesce("orphan_rows", F.lit(0)).alias("orphan_rows"),
+                    (F.col("contained_values") / F.col("source_values")).alias("containment")))
 
 
 def relationship_counts(*relationships: DataFrame) -> DataFrame:

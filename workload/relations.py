@@ -381,37 +381,20 @@ ORACLES["g13_similarity_advice"] = WITH + G12_SQL + """, adv as (select *, case
  || case when class_differs then ['Ensure proper fact-dimension relationships are maintained'] else [] end as lines from lab)
  select table1, table2, cast(unnest(range(len(lines))) as integer) as line, unnest(lines) as recommendation from adv"""
 
-INT_COLS = {t: [c for c, k in TABLES[t].items() if k in ("int", "bigint")] for t in ALL}
-INT_COLS = {t: c for t, c in INT_COLS.items() if c}
-
-
-def int_stats(s, d):
-    tables = lake(s, d, INT_COLS)
-    ranges = nu.moments(lk.union_tables(lambda df, n: nu.numbers(df, n, INT_COLS[n]), tables)).select(
-        "table_name", "column_name", "min_value", "max_value")
-    counts = va.value_counts(lk.union_tables(lambda df, n: va.cells(df, n, INT_COLS[n]), tables))
-    stats = va.uniqueness(counts).select("table_name", "column_name", F.col("unique_count").alias("distinct_count"), "non_null_count")
-    return va.present(counts), stats.join(F.broadcast(ranges), ["table_name", "column_name"]).withColumn("family", F.lit("integer"))
-
-
-def _g14(s, d):
-    values, stats = int_stats(s, d)
-    candidates = re.containment_candidates(stats)
-    return re.value_containment(values, candidates).join(candidates, ["from_table", "from_column", "to_table", "to_column"])
-
-
-# keys of the given tables that share a stripped name, written out as the oracle's pairs
-INT_SQL = union_all(f"select '{t}' as t, '{c}' as c, regexp_replace('{c}', '^[a-z]+_', '') as k, count({c}) as n, count(distinct {c}) as u, min({c}) as lo, max({c}) as hi from {t}"
-                    for t, cs in INT_COLS.items() for c in cs)
-PAIRS = [(t1, c1, t2, c2) for t1, cs1 in INT_COLS.items() for c1 in cs1 for t2, cs2 in INT_COLS.items() for c2 in cs2
-         if t1 != t2 and c1.split("_", 1)[-1] == c2.split("_", 1)[-1]]
-QUERIES["g14_value_containment"] = lambda s, d: rounded(_g14(s, d))
-ORACLES["g14_value_containment"] = f"with st as ({INT_SQL}), hit as (" + union_all(
-    f"""select '{t1}' as from_table, '{c1}' as from_column, '{t2}' as to_table, '{c2}' as to_column, count(distinct {c1}) as source_values,
- count(distinct case when {c1} in (select {c2} from {t2}) then {c1} end) as contained_values, count(*) filter ({c1} not in (select {c2} from {t2})) as orphan_rows from {t1}"""
-    for t1, c1, t2, c2 in PAIRS) + """) select hit.*, round(contained_values / source_values, 4) as containment,
- case when from_column = to_column then 'equal_name' else 'prefix_stripped' end as matched_by from hit join st a on a.t = from_table and a.c = from_column
- join st b on b.t = to_table and b.c = to_column where a.u >= 2 and b.u = b.n and a.lo >= b.lo and a.hi <= b.hi"""
+PLAIN = {t: [c for c, k in TABLES[t].items() if k != "array"] for t in ALL}
+QUERIES["g14_value_containment"] = lambda s, d: rounded(re.inclusion_dependencies(
+    lake(s, d), re.inclusion_candidates(ca.schema_rows(lake(s, d)))))
+CELLS_SQL = union_all(
+    f"""select '{t}' as t, '{c}' as c, '{'integer' if TABLES[t][c] in ('int', 'bigint') else TABLES[t][c]}' as family, cast({c} as varchar) as v, count(*) as n
+ from {t} where {c} is not null group by all""" for t, cs in PLAIN.items() for c in cs)
+ORACLES["g14_value_containment"] = f"""with cells as materialized ({CELLS_SQL}),
+ st as (select t, c, family, regexp_replace(c, '^[a-z]+_', '') as k, max(n) as most, min(try_cast(v as double)) as lo, max(try_cast(v as double)) as hi from cells group by all),
+ p as (select a.t as from_table, a.c as from_column, b.t as to_table, b.c as to_column from st a join st b on a.k = b.k and a.t <> b.t and a.family = b.family
+  where b.most = 1 and (a.family <> 'integer' or (a.lo >= b.lo and a.hi <= b.hi)))
+ select from_table, from_column, to_table, to_column, case when from_column = to_column then 'equal_name' else 'prefix_stripped' end as matched_by,
+  count(*) as source_values, count(w.v) as contained_values, cast(coalesce(sum(case when w.v is null then x.n end), 0) as bigint) as orphan_rows,
+  round(count(w.v) / count(*), 4) as containment
+ from p join cells x on x.t = from_table and x.c = from_column left join cells w on w.t = to_table and w.c = to_column and w.v = x.v group by 1, 2, 3, 4, 5"""
 
 
 def _g15(s, d):
