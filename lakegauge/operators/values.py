@@ -4,8 +4,9 @@ distinct-value, length, pattern, top-value and key statistics.
 A table is unpivoted to ``(table_name, column_name, value)`` cells and counted.
 The count has a map-side partial step, so a value that fills a third of the
 table reaches the shuffle once per task.  Texts longer than ``SHORT`` characters
-travel as an MD5 digest of the whole text together with the length and pattern
-bits taken from the whole text, so a corpus is never shuffled by its content.
+travel as an MD5 digest of the whole text together with their first characters and
+the length and pattern bits taken from the whole text, so a corpus is never shuffled
+by its content.
 """
 
 from __future__ import annotations
@@ -62,11 +63,11 @@ def pattern_bits(value: Column) -> Column:
 
 
 def value_counts(cell_rows: DataFrame, short: int = SHORT) -> DataFrame:
-    """(table_name, column_name, value, digest, long_length, long_bits, n).
+    """(table_name, column_name, value, digest, head, long_length, long_bits, n).
 
     ``value`` is NULL for long texts, which are identified by ``digest``; both
-    are NULL for SQL NULLs.  ``long_length`` and ``long_bits`` depend on the text
-    alone, so they do not split groups.
+    are NULL for SQL NULLs.  ``head`` (the first characters), ``long_length`` and
+    ``long_bits`` depend on the text alone, so they do not split groups.
     """
     value = F.col("value")
     long = F.length(value) > short
@@ -74,9 +75,10 @@ def value_counts(cell_rows: DataFrame, short: int = SHORT) -> DataFrame:
         *KEYS,
         F.when(~long, value).alias("value"),
         F.when(long, F.md5(value)).alias("digest"),
+        F.when(long, F.left(value, F.lit(short))).alias("head"),
         F.when(long, F.length(value)).alias("long_length"),
         F.when(long, pattern_bits(value)).alias("long_bits"))
-        .groupBy(*KEYS, "value", "digest", "long_length", "long_bits")
+        .groupBy(*KEYS, "value", "digest", "head", "long_length", "long_bits")
         .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -131,37 +133,46 @@ def text_lengths(df: DataFrame, table: str, columns=None) -> DataFrame:
     return length_summary(length_counts(value_counts(cells(df, table, names))))
 
 
-def _ranked(counts: DataFrame, order, limit: int) -> DataFrame:
-    # row_number() <= limit is planned with a group limit before the shuffle:
-    # each task forwards at most `limit` rows per column.
-    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= limit)
+def _first(rows: DataFrame, n: Column, value: Column, limit: int, ties: bool = False) -> DataFrame:
+    # rank <= limit is planned with a group limit before the shuffle: each task
+    # forwards at most `limit` rows per column, and with `ties` those equal to its last one.
+    number = F.rank() if ties else F.row_number()
+    return rows.withColumn("rank", number.over(Window.partitionBy(*KEYS).orderBy(n, value))).where(F.col("rank") <= limit)
 
 
-def _with_texts(ranked: DataFrame, cell_rows: DataFrame | None) -> DataFrame:
-    """Bring back the whole text of ranked long values (at most `limit` per column)."""
+def _ranked(counts: DataFrame, cell_rows: DataFrame | None, limit: int, most: bool) -> DataFrame:
+    """The first ``limit`` values per column: by count and value, the greatest counts and
+    least values first, or (without ``most``) the other way round.
+
+    Long texts are ranked by their first characters first, which cannot contradict the order of the whole texts; only
+    those that may still be among the first are read again, and ranked by the whole text.  Texts that occur once, the
+    usual ties, are cut to ``limit`` a task before any of them is shuffled.
+    """
+    n, value = (F.desc("n"), F.asc("order")) if most else (F.asc("n"), F.desc("order"))
+    candidates = _first(present(counts).withColumn("order", F.coalesce("value", "head")), n, value, limit, ties=True)
     if cell_rows is None:
-        return ranked.withColumn("value", F.coalesce("value", "digest"))
-    wanted = ranked.where(F.col("digest").isNotNull()).select(*KEYS, "digest")
-    # proven bound: at most `limit` digests per column of the table
-    texts = (cell_rows.where(F.length("value") > SHORT)
-             .withColumn("digest", F.md5("value"))
-             .join(F.broadcast(wanted), [*KEYS, "digest"])
-             .groupBy(*KEYS, "digest").agg(F.min("value").alias("text")))
-    return (ranked.join(F.broadcast(texts), [*KEYS, "digest"], "left")
-            .withColumn("value", F.coalesce("value", "text")).drop("text"))
+        return _first(candidates.withColumn("value", F.col("order")), n, value, limit).select(*KEYS, "rank", "value", "n")
+    short = candidates.where(F.col("value").isNotNull()).select(*KEYS, "n", "value")
+    long = candidates.where(F.col("digest").isNotNull()).select(*KEYS, "digest", "n")
+    texts = cell_rows.where(F.length("value") > SHORT).withColumn("digest", F.md5("value"))
+    # no hint: as many digests as texts tie with equal first characters
+    once = texts.join(long.where("n = 1"), [*KEYS, "digest"]).withColumn("order", F.col("value"))
+    once = _first(once, n, value, limit).select(*KEYS, "n", "value")
+    often = texts.join(long.where("n > 1"), [*KEYS, "digest"]).groupBy(*KEYS, "digest", "n").agg(F.min("value").alias("value"))
+    every = short.unionByName(once).unionByName(often.select(*KEYS, "n", "value")).withColumn("order", F.col("value"))
+    return _first(every, n, value, limit).select(*KEYS, "rank", "value", "n")
 
 
 def most_frequent(counts: DataFrame, cell_rows: DataFrame | None = None, limit: int = 10) -> DataFrame:
-    """(table_name, column_name, rank, value, n): count descending, then value, then digest."""
-    order = [F.desc("n"), F.asc_nulls_last("value"), F.asc("digest")]
-    return _with_texts(_ranked(present(counts), order, limit), cell_rows).select(*KEYS, "rank", "value", "n")
+    """(table_name, column_name, rank, value, n): count descending, then value ascending, for texts of every length.
+
+    Without ``cell_rows`` long texts are ranked and shown by their first ``SHORT`` characters."""
+    return _ranked(counts, cell_rows, limit, True)
 
 
 def least_frequent(counts: DataFrame, cell_rows: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """The last values of the descending order; rank 1 is the very last."""
-    order = [F.asc("n"), F.desc_nulls_first("value"), F.desc("digest")]
-    return _with_texts(_ranked(present(counts), order, limit), cell_rows).select(*KEYS, "rank", "value", "n")
+    return _ranked(counts, cell_rows, limit, False)
 
 
 def least_kept(unique_count: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from lakegauge.functions import vocab
-from lakegauge.functions.exprs import KEYS, is_text, ordered_names, percent
+from lakegauge.functions.exprs import KEYS, is_numeric, is_temporal, ordered_names, percent
 from lakegauge.operators import anomalies as an, numeric as nu, patterns as pa, quality as qu
 from lakegauge.operators import temporal as te, values as va
 from lakegauge.operators.catalog import schema_rows
@@ -30,7 +30,7 @@ def parts_of(df: DataFrame, table: str, columns=None) -> Parts:
     catalog = schema_rows({table: df})
     if columns is not None:
         catalog = catalog.where(F.col("column_name").isin([f.name for f in fields]))
-    texts = [f.name for f in fields if is_text(f)]
+    texts = [f.name for f in fields if not (is_numeric(f) or is_temporal(f))]  # may be long as text
     return Parts(catalog, va.cells(df, table, texts), va.value_counts(va.cells(df, table, columns)),
                  nu.numbers(df, table, columns), te.instants(df, table, columns))
 

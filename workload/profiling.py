@@ -109,8 +109,7 @@ ORACLES["b12_range_label"] = """with r as (select o_custkey, date_sub('day', min
 select o_custkey, n as range_days, case when n < 7 then n || ' days' when n < 30 then n // 7 || ' weeks'
  when n < 365 then n // 30 || ' months' else n // 365 || ' years' end as label from r"""
 
-FREQ = {"orders": ["o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate"],
-        "documents": ["text", "lang", "source", "n_chars"], "lineitem": ["l_quantity", "l_partkey"], "pages": ["url", "html"]}
+FREQ = {t: columns(t) for t in ["orders", "documents", "lineitem", "pages"]}
 
 
 def _freq(s, d, which):
@@ -122,20 +121,17 @@ def _freq(s, d, which):
 def _freq_sql(order, keep):
     def one(t, c):
         v = f"cast({c} as varchar)"
-        short = f"case when length({v}) <= 64 then {v} end"
-        digest = f"case when length({v}) > 64 then md5({v}) end"
         return f"""select '{t}' as table_name, '{c}' as column_name, rank, v as value, n, round(n / total * 100, 4) as percentage
  from (select v, n, sum(n) over () as total, count(*) over () as u,
   row_number() over (order by {order}) as rank
-  from (select {v} as v, {short} as short, {digest} as digest, count(*) as n from {t} where {c} is not null group by 1, 2, 3)) where rank <= {keep}"""
+  from (select {v} as v, count(*) as n from {t} where {c} is not null group by 1)) where rank <= {keep}"""
     return union_all(one(t, c) for t, cs in FREQ.items() for c in cs)
 
 
 QUERIES["b13_top_values"] = lambda s, d: rounded(_freq(s, d, va.top_values)).withColumn("rank", F.col("rank").cast("bigint"))
-ORACLES["b13_top_values"] = _freq_sql("n desc, short asc nulls last, digest asc", "10")
+ORACLES["b13_top_values"] = _freq_sql("n desc, v asc", "10")
 QUERIES["b14_least_values"] = lambda s, d: rounded(_freq(s, d, va.least_values)).withColumn("rank", F.col("rank").cast("bigint"))
-ORACLES["b14_least_values"] = _freq_sql("n asc, short desc nulls first, digest desc",
-                                        "case when u > 20 then 10 else least(5, u) end")
+ORACLES["b14_least_values"] = _freq_sql("n asc, v desc", "case when u > 20 then 10 else least(5, u) end")
 
 # ---- C ------------------------------------------------------------------------
 PATTERN_COLS = {"customer": [c for c, k in CUSTOMER_COLUMNS.items()], "orders": ["o_orderkey", "o_orderpriority", *PLANTED_ORDERS],
