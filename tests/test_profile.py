@@ -79,6 +79,19 @@ def test_long_texts_are_identified_by_their_whole_content(spark):
     assert (length["max_length"], length["min_length"], length["distinct_lengths"]) == (5001, 5, 2)
 
 
+def test_long_texts_are_ranked_by_their_whole_text(spark):
+    """Ties with equal first characters, repeated long texts and short ones between them, against a plain sort."""
+    rng = random.Random(4)
+    base = "p" * 64
+    texts = [base + f"{rng.random()}" for _ in range(60)] + [base, base + "0" * 200, "q" * 70, "a"] + [base + "twice"] * 2 + ["b" * 90] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "s string").repartition(5)
+    cells = va.cells(df, "t")
+    counts, n = va.value_counts(cells), {t: texts.count(t) for t in set(texts)}
+    down = sorted(n, key=lambda t: (-n[t], t))
+    assert [r["value"] for r in va.most_frequent(counts, cells).orderBy("rank").collect()] == down[:10]
+    assert [r["value"] for r in va.least_frequent(counts, cells).orderBy("rank").collect()] == down[::-1][:10]
+
+
 def test_least_values_take_five_or_ten(spark):
     few = spark.createDataFrame([(v,) for v in "aaabbcdefg"], "s string")
     many = spark.createDataFrame([(f"v{i:02d}",) for i in range(25)], "s string")

@@ -8,7 +8,7 @@ from lakegauge.functions import vocab
 from lakegauge.operators import anomalies as an, numeric as nu, patterns as pa, temporal as te, values as va
 from lakegauge.plans import lake as lk
 from workload.common import (
-    CUSTOMER_COLUMNS, CUSTOMER_SQL, NUMERIC, ORDERS_SQL, PLANTED_ORDERS, columns, lake, per_column, planted_customer, planted_orders, rounded, table, union_all)
+    CUSTOMER_COLUMNS, CUSTOMER_SQL, NUMERIC, ORDERS_SQL, PLANTED_ORDERS, TABLES, columns, lake, per_column, planted_customer, planted_orders, rounded, table, union_all)
 
 QUERIES, ORACLES = {}, {}
 
@@ -134,8 +134,8 @@ QUERIES["b14_least_values"] = lambda s, d: rounded(_freq(s, d, va.least_values))
 ORACLES["b14_least_values"] = _freq_sql("n asc, v desc", "case when u > 20 then 10 else least(5, u) end")
 
 # ---- C ------------------------------------------------------------------------
-PATTERN_COLS = {"customer": [c for c, k in CUSTOMER_COLUMNS.items()], "orders": ["o_orderkey", "o_orderpriority", *PLANTED_ORDERS],
-                "pages": ["url", "page_id"], "events": ["event_id", "event_type"]}
+PATTERN_COLS = {"customer": list(CUSTOMER_COLUMNS), "orders": [*TABLES["orders"], *PLANTED_ORDERS], "pages": columns("pages"),
+                "events": columns("events")}
 
 
 def _pattern_frames(s, d):
