@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from lakegauge.functions import vocab
-from lakegauge.functions.exprs import KEYS, is_numeric, is_temporal, ordered_names, percent
+from lakegauge.functions.exprs import KEYS, clean, is_numeric, is_temporal, ordered_names, percent
 from lakegauge.operators import anomalies as an, numeric as nu, patterns as pa, quality as qu
 from lakegauge.operators import temporal as te, values as va
 from lakegauge.operators.catalog import schema_rows
@@ -23,6 +23,17 @@ class Parts:
     counts: DataFrame
     numbers: DataFrame
     instants: DataFrame
+    presence: DataFrame
+
+
+def _presence(df: DataFrame, table: str, fields) -> DataFrame:
+    """Rows and present values per column: one wide aggregate, no value is shuffled."""
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.struct(
+        F.lit(f.name).alias("column_name"), F.count(clean(f)).alias("present")) for f in fields]).alias("columns"))
+    one = wide.select(F.lit(table).alias("table_name"), "rows", F.inline("columns"))
+    missing = F.col("rows") - F.col("present")
+    return one.select(*KEYS, F.col("rows").alias("total_count"), missing.alias("null_count"),
+                      F.coalesce(percent(missing, F.col("rows")), F.lit(0.0)).alias("null_percentage"), F.col("present").alias("non_null_count"))
 
 
 def parts_of(df: DataFrame, table: str, columns=None) -> Parts:
@@ -32,7 +43,7 @@ def parts_of(df: DataFrame, table: str, columns=None) -> Parts:
         catalog = catalog.where(F.col("column_name").isin([f.name for f in fields]))
     texts = [f.name for f in fields if not (is_numeric(f) or is_temporal(f))]  # may be long as text
     return Parts(catalog, va.cells(df, table, texts), va.value_counts(va.cells(df, table, columns)),
-                 nu.numbers(df, table, columns), te.instants(df, table, columns))
+                 nu.numbers(df, table, columns), te.instants(df, table, columns), _presence(df, table, fields))
 
 
 def union_parts(parts: list[Parts]) -> Parts:
@@ -51,7 +62,7 @@ def column_profile(df: DataFrame, table: str, columns=None, exact: bool = True)
     return profile_parts(parts_of(df, table, columns), exact)
 
 
-ONE, MANY = ["catalog", "stats", "numeric", "lengths", "dates"], ["temporal", "pattern", "anomaly", "top", "least"]
+ONE, MANY = ["catalog", "presence", "stats", "numeric", "lengths", "dates"], ["temporal", "pattern", "anomaly", "top", "least"]
 
 
 def _gathered(frames: dict[str, DataFrame]) -> DataFrame:
@@ -70,50 +81,104 @@ def _gathered(frames: dict[str, DataFrame]) -> DataFrame:
         (F.any_value(n, True) if n in ONE else F.array_sort(F.collect_list(n))).alias(n) for n in names])
 
 
-def profile_parts(p: Parts, exact: bool = True, lists: bool = True) -> DataFrame:
-    """Profile rows from building blocks.
+PRESENCE = {"total_count", "null_count", "null_percentage", "non_null_count"}
+#: frames behind derived fields; every other field names its frame in `FRAME_OF`
+NEEDS = {"potential_key": {"stats"}, "potential_pii": {"stats", "pattern"}, "data_classification": {"stats", "pattern"},
+         "anomaly_count": {"anomaly"}, "anomalies": {"anomaly"}, "quality_score": {"stats", "lengths", "anomaly"},
+         "common_patterns": {"pattern"}, "temporal_patterns": {"temporal"}, "most_frequent_values": {"stats", "top"},
+         "least_frequent_values": {"stats", "least"}}
+FRAME_OF = {**dict.fromkeys(["ordinal", "data_type"], "catalog"), **dict.fromkeys(["unique_count", "unique_percentage", "duplicate_count"], "stats"),
+            **dict.fromkeys(["min_length", "max_length", "avg_length", "format_consistency"], "lengths"),
+            **dict.fromkeys(["start_date", "end_date", "range_days", "range_description"], "dates")}
+
+
+def frames_for(fields) -> set[str]:
+    """The metric frames that the wanted profile fields need; presence alone is counted without a shuffle of values."""
+    need = {"catalog"}
+    for f in fields:
+        need |= NEEDS[f] if f in NEEDS else set() if f in PRESENCE else {FRAME_OF.get(f, "numeric")}
+    return need if "stats" in need or not PRESENCE & set(fields) else need | {"presence"}
+
+
+def profile_parts(p: Parts, exact: bool = True, lists: bool = True, fields=None) -> DataFrame:
+    """Profile rows from building blocks; with ``fields`` only those, and only the work behind them.
 
     Distinct values, lengths, patterns and frequent values all read the one shuffle
     of the value counts.  Lengths are taken of every column and dropped for others
     than text at the end: a filter here would be pushed below the shuffle and
     split it in two.
     """
-    numeric = nu.numeric_profile(p.numbers, exact)
+    need = set(ONE + MANY) - {"presence"} - (set() if lists else {"top", "least"}) if fields is None else frames_for(fields)
+    numeric = nu.numeric_profile(p.numbers, exact) if need & {"numeric", "anomaly"} else None
     length_rows = va.length_counts(p.counts)
-    frames = {
-        "catalog": p.catalog.select(*KEYS, "ordinal", "data_type"),
-        "stats": va.uniqueness(p.counts),
-        "numeric": numeric.drop("non_null_count", "std_pop"),
-        "lengths": va.length_summary(length_rows).select(*KEYS, "min_length", "max_length", "avg_length", "format_consistency"),
-        "dates": te.date_range(p.instants),
-        "temporal": te.temporal_variation(p.instants).where("is_pattern").select(*KEYS, F.col("kind").alias("type"), "description"),
-        "pattern": pa.common_patterns(pa.pattern_sums(p.counts)).select(*KEYS, "pattern", "matches", "percentage", "description"),
-        "anomaly": an.all_anomalies(p.numbers, numeric, length_rows)}
-    if lists:
-        frames["top"] = va.most_frequent(p.counts, p.text_cells)
-        frames["least"] = va.least_frequent(p.counts, p.text_cells)
+    build = {
+        "catalog": lambda: p.catalog.select(*KEYS, "ordinal", "data_type"),
+        "presence": lambda: p.presence,
+        "stats": lambda: va.uniqueness(p.counts),
+        "numeric": lambda: numeric.drop("non_null_count", "std_pop"),
+        "lengths": lambda: va.length_summary(length_rows).select(*KEYS, "min_length", "max_length", "avg_length", "format_consistency"),
+        "dates": lambda: te.date_range(p.instants),
+        "temporal": lambda: te.temporal_variation(p.instants).where("is_pattern").select(*KEYS, F.col("kind").alias("type"), "description"),
+        "pattern": lambda: pa.common_patterns(pa.pattern_sums(p.counts)).select(*KEYS, "pattern", "matches", "percentage", "description"),
+        "anomaly": lambda: an.all_anomalies(p.numbers, numeric, length_rows),
+        "top": lambda: va.most_frequent(p.counts, p.text_cells),
+        "least": lambda: va.least_frequent(p.counts, p.text_cells)}
+    frames = {n: make() for n, make in build.items() if n in need}
     got = _gathered(frames)
     is_text = F.col("catalog.data_type") == "string"
-    fields = {n: [c for c in frames[n].columns if c not in KEYS] for n in ONE}
-    flat = [F.col(f"{n}.{c}").alias(c) for n in ["catalog", "stats", "numeric", "dates"] for c in fields[n]]
-    anomalies = F.filter("anomaly", lambda a: is_text | (a["type"] != "length_outliers"))
-    columns = [*KEYS, *flat, *[F.when(is_text, F.col(f"lengths.{c}")).alias(c) for c in fields["lengths"]],
-               F.col("temporal").alias("temporal_patterns"), F.col("pattern").alias("common_patterns"),
-               F.when(F.size(anomalies) > 0, anomalies).alias("anomalies")]
-    if lists:
-        def shared(values):
-            return F.transform(values, lambda v: F.struct(
-                v["rank"].alias("rank"), v["value"].alias("value"), v["n"].alias("count"),
-                percent(v["n"], F.col("stats.non_null_count")).alias("percentage")))
-        columns += [shared(F.col("top")).alias("most_frequent_values"),
-                    F.slice(shared(F.col("least")), 1, va.least_kept(F.col("stats.unique_count"))).alias("least_frequent_values")]
+    columns = {n: [c for c in frames[n].columns if c not in KEYS] for n in ONE if n in frames}
+    out = [F.col(f"{n}.{c}").alias(c) for n in ["catalog", "presence", "stats", "numeric", "dates"] for c in columns.get(n, [])]
+    out += [F.when(is_text, F.col(f"lengths.{c}")).alias(c) for c in columns.get("lengths", [])]
+    if "temporal" in need:
+        out.append(F.col("temporal").alias("temporal_patterns"))
+    if "pattern" in need:
+        out.append(F.col("pattern").alias("common_patterns"))
+    if "anomaly" in need:
+        anomalies = F.filter("anomaly", lambda a: is_text | (a["type"] != "length_outliers"))
+        out.append(F.when(F.size(anomalies) > 0, anomalies).alias("anomalies"))
+
+    def shared(values):
+        return F.transform(values, lambda v: F.struct(
+            v["rank"].alias("rank"), v["value"].alias("value"), v["n"].alias("count"),
+            percent(v["n"], F.col("stats.non_null_count")).alias("percentage")))
+    if "top" in need:
+        out.append(shared(F.col("top")).alias("most_frequent_values"))
+    if "least" in need:
+        out.append(F.slice(shared(F.col("least")), 1, va.least_kept(F.col("stats.unique_count"))).alias("least_frequent_values"))
+    rows = got.select(*KEYS, *out)
     # an empty table has no value counts: its columns get zero counts
     zero = {"total_count": F.lit(0), "null_count": F.lit(0), "null_percentage": F.lit(0.0), "non_null_count": F.lit(0),
             "unique_count": F.lit(0), "unique_percentage": F.lit(0.0), "duplicate_count": F.lit(0)}
-    out = got.select(*columns).withColumns({c: F.coalesce(F.col(c), v) for c, v in zero.items()}).withColumn(
-        "anomaly_count", F.aggregate(F.transform("anomalies", lambda a: a["count"]), F.lit(0).cast("bigint"), lambda x, y: x + y))
-    pii = F.exists("common_patterns", lambda x: x["pattern"].isin(vocab.PII_PATTERNS))
-    return qu.profile_score(pa.classified(out, pii))
+    rows = rows.withColumns({c: F.coalesce(F.col(c), v) for c, v in zero.items() if c in rows.columns})
+    if "anomaly" in need:
+        rows = rows.withColumn("anomaly_count", F.aggregate(
+            F.transform("anomalies", lambda a: a["count"]), F.lit(0).cast("bigint"), lambda x, y: x + y))
+    if "stats" in need:
+        pii = F.exists("common_patterns", lambda x: x["pattern"].isin(vocab.PII_PATTERNS)) if "pattern" in need else F.lit(False)
+        rows = pa.classified(rows, pii)
+    if {"stats", "lengths", "anomaly"} <= need:
+        rows = qu.profile_score(rows)
+    return rows if fields is None else rows.select(*KEYS, *fields)
+
+
+#: profile fields behind each table field
+TABLE_NEEDS = {
+    "total_rows": ["total_count"], "total_columns": [], "completeness_score": ["null_percentage"],
+    "consistency_score": ["format_consistency"], "overall_quality_score": ["quality_score"],
+    "potential_keys": ["ordinal", "potential_key", "unique_percentage"], "potential_foreign_keys": ["ordinal", "unique_percentage"],
+    "recommended_partitioning": ["ordinal", "total_count", "data_classification"],
+    "recommended_indexing": ["ordinal", "potential_key", "unique_percentage"], "table_level_issues": ["ordinal", "quality_score"]}
+
+
+def table_metrics(p: Parts, fields: list[str], exact: bool = True) -> DataFrame:
+    """Chosen fields of :func:`table_profile`, with only the column statistics that they need."""
+    wanted = sorted({c for f in fields for c in TABLE_NEEDS[f]})
+    profile = profile_parts(p, exact, False, wanted)
+    every = {c for needs in TABLE_NEEDS.values() for c in needs}
+    kinds = {"total_count": "bigint", "ordinal": "int", "potential_key": "boolean", "data_classification": "string"}
+    # fields that nobody asked for are NULL and leave the plan with the columns built on them
+    padded = profile.select("*", *[F.lit(None).cast(kinds.get(c, "double")).alias(c) for c in sorted(every - set(wanted))])
+    return table_profile(padded).select("table_name", *fields)
 
 
 def table_profile(profile: DataFrame) -> DataFrame:

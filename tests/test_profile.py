@@ -100,6 +100,24 @@ def test_least_values_take_five_or_ten(spark):
         assert va.least_values(counts, va.uniqueness(counts)).count() == n
 
 
+def test_metrics_on_demand_equal_the_whole_profile(spark):
+    rows = [(i, None if i % 3 else "x" * (i % 7), float(i % 11) if i % 5 else None, f"u{i}@b.co") for i in range(60)] + [(61, "y" * 40, 1e6, None)]
+    df = spark.createDataFrame(rows, "a_id bigint, s string, x double, contact string")
+    parts = pr.parts_of(df, "t")
+    whole = one(pr.profile_parts(parts))
+    for fields in (["null_percentage"], ["format_consistency", "null_count"], ["quality_score"], ["q2", "mean"], ["potential_pii"],
+                   ["most_frequent_values", "unique_count"], ["common_patterns", "anomaly_count", "ordinal"]):
+        got = one(pr.profile_parts(parts, fields=fields))
+        assert {c: {f: r[f] for f in fields} for c, r in got.items()} == {c: {f: whole[c][f] for f in fields} for c in got} and len(got) == 4
+    table = pr.table_profile(pr.profile_parts(parts)).first().asDict()
+    for f in pr.TABLE_NEEDS:
+        assert pr.table_metrics(parts, [f]).first()[f] == table[f], f
+    assert pr.frames_for(["null_percentage"]) == {"catalog", "presence"}
+    plan = pr.table_metrics(parts, ["completeness_score"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "md5" not in plan  # one aggregate a table, no cells and no quantiles
+    assert pr.profile_parts(pr.parts_of(df.limit(0), "t"), fields=["null_percentage"]).count() == 4
+
+
 def test_patterns_and_flags(spark):
     rows = [("a@b.co", "555-123-4567", "2024-01-02", "12", "https://x.y/z", i) for i in range(6)] + [("x", "y", "n", "z", "w", 9)] * 4
     df = spark.createDataFrame(rows, "contact string, p string, d string, n string, u string, v int")

@@ -113,9 +113,13 @@ PROFILE_SRC = {"customer": ("p", CUSTOMER_COLUMNS), "documents": ("documents", T
                "events": ("events", TABLES["events"]), "orders": ("orders", TABLES["orders"])}
 
 
-def profiles(s, d, lists=False):
+def parts(s, d):
     tables = {"customer": planted_customer(s, d), **lake(s, d, ["documents", "events", "orders"])}
-    return pr.profile_parts(pr.union_parts([pr.parts_of(df, t) for t, df in tables.items()]), lists=lists)
+    return pr.union_parts([pr.parts_of(df, t) for t, df in tables.items()])
+
+
+def profiles(s, d, lists=False):
+    return pr.profile_parts(parts(s, d), lists=lists)
 
 
 def _profile_sql(t, f, c, k):
@@ -170,12 +174,12 @@ QUERIES["b17_profile_record"] = lambda s, d: pr.profile_record(pr.column_profile
 
 QUERIES["e9_profile_column_score"] = lambda s, d: rounded(profiles(s, d).select("table_name", "column_name", "quality_score"))
 ORACLES["e9_profile_column_score"] = PROFILE_SQL + " select table_name, column_name, round(quality_score, 4) as quality_score from c"
-QUERIES["e10_completeness"] = lambda s, d: rounded(pr.table_profile(profiles(s, d)).select("table_name", "completeness_score"))
+QUERIES["e10_completeness"] = lambda s, d: rounded(pr.table_metrics(parts(s, d), ["completeness_score"]))
 ORACLES["e10_completeness"] = TABLE_SQL + " select table_name, round(completeness_score, 4) as completeness_score from t"
-QUERIES["e11_consistency"] = lambda s, d: rounded(pr.table_profile(profiles(s, d)).select("table_name", "consistency_score"))
+QUERIES["e11_consistency"] = lambda s, d: rounded(pr.table_metrics(parts(s, d), ["consistency_score"]))
 ORACLES["e11_consistency"] = TABLE_SQL + " select table_name, round(consistency_score, 4) as consistency_score from t"
-QUERIES["e12_overall_quality"] = lambda s, d: rounded(pr.table_profile(profiles(s, d)).select(
-    "table_name", "overall_quality_score", "table_level_issues"))
+QUERIES["e12_overall_quality"] = lambda s, d: rounded(pr.table_metrics(
+    parts(s, d), ["overall_quality_score", "table_level_issues"]))
 ORACLES["e12_overall_quality"] = TABLE_SQL + """ select table_name, round(overall_quality_score, 4) as overall_quality_score,
  'Low quality columns requiring attention: ' || low_quality as table_level_issues from t"""
 
