@@ -194,8 +194,3 @@ def least_values(counts: DataFrame, stats: DataFrame, cell_rows: DataFrame | Non
     """Least frequent values per column with their share of the present values."""
     rare = _with_share(least_frequent(counts, cell_rows), stats)
     return rare.where(F.col("rank") <= least_kept(F.col("unique_count"))).drop("non_null_count", "unique_count")
-
-
-def distinct_values(df: DataFrame, table: str, columns=None) -> DataFrame:
-    """Distinct present values per column, keyed by text or digest."""
-    return present(value_counts(cells(df, table, columns)))

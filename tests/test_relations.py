@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakegauge.operators import (business as bu, catalog as ca, classify as cl, history as hi, partitions as pt, recommend as rc,
-                                 relate as re, series as se, values as va)
+                                 relate as re, series as se)
 from lakegauge.sources import readers as rd, sinks as sk
 
 

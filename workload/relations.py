@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakegauge.functions import vocab
-from lakegauge.operators import catalog as ca, classify as cl, numeric as nu, relate as re, values as va
+from lakegauge.operators import catalog as ca, classify as cl, relate as re, values as va
 from lakegauge.plans import lake as lk
 from workload.common import TABLES, lake, rounded, table, union_all
 from workload.profiling import tokens_sql
