@@ -106,29 +106,34 @@ def test_inclusion_dependencies_equal_sets(spark):
     assert re.inclusion_dependencies(tables, candidates.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_history_matches_a_loop_for_a_hot_key(spark, seed):
+@pytest.mark.parametrize("seed, slices", [(1, None), (2, 8), (3, 1)])
+def test_history_matches_a_loop_for_a_hot_key(spark, seed, slices):
     rng = random.Random(seed)
     start = dt.datetime(2024, 1, 1)
-    rows, seen = [], set()
+    rows = []
     for i in range(400):
         key = 1 if rng.random() < 0.6 else rng.randint(2, 6)
-        rows.append((key, start + dt.timedelta(hours=rng.randint(0, 300)), i, rng.choice(["a", "b", None])))
+        at = start + dt.timedelta(seconds=rng.randint(0, 3600 if key == 1 else 10 ** 6))
+        rows.append((None if key == 6 else key, None if rng.random() < 0.1 else at, i, rng.choice(["a", "b", None])))
     df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, i int, s string")
     want, changes = [], []
     for key in {r[0] for r in rows}:
         runs = []
-        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] or dt.datetime.min, r[2])):
             if not runs or runs[-1][1] != r[3]:
                 runs.append((r[1], r[3]))
         for v, (at, state) in enumerate(runs):
             after = runs[v + 1][0] if v + 1 < len(runs) else None
-            want.append((key, state, at, after, v + 1, after is None))
+            want.append((key, state, at, after, v + 1, v + 1 == len(runs)))
             if v:
-                changes.append((key, runs[v - 1][1], state, at, (at - runs[v - 1][0]).days))
-    got = [tuple(r) for r in hi.type2_dimension(df, "k", ["ts", "i"], "s").collect()]
+                since = runs[v - 1][0]
+                changes.append((key, runs[v - 1][1], state, at, (at - since).days if at and since else None))
+    # the hour of the hot key, the NULL key and the NULL times spread over several ranges
+    ranges = hi._sliced(df, "k", ["ts", "i"], "s", 8)
+    assert ranges.where("_key = 1").select("_slice").distinct().count() > 2
+    got = [tuple(r) for r in hi.type2_dimension(df, "k", ["ts", "i"], "s", slices).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    got = [tuple(r) for r in hi.state_changes(df, "k", ["ts", "i"], "s").collect()]
+    got = [tuple(r) for r in hi.state_changes(df, "k", ["ts", "i"], "s", slices).collect()]
     assert sorted(got, key=str) == sorted(changes, key=str)
 
 
