@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakegauge.functions import vocab
 from lakegauge.functions.exprs import KEYS, clean, contains_any, quoted
 from lakegauge.operators.values import uniqueness, value_counts, cells
+from lakegauge.sources.readers import quote, session_tables
 
 
 def type_bucket(data_type: Column) -> Column:
@@ -91,12 +94,69 @@ def _value_bytes(field) -> Column:
     return F.when(c.isNotNull(), size).otherwise(0).cast("bigint")
 
 
-def catalog_stats(spark, table: str) -> DataFrame:
-    """Location, format and stored statistics of a registered table."""
-    info = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
-    return (info.where(F.lower("col_name").isin("location", "provider", "statistics", "last access", "created time"))
-            .select(F.lit(table).alias("table_name"), F.lower("col_name").alias("property"),
-                    F.col("data_type").alias("value")))
+def file_listing(spark: SparkSession, locations: dict[str, str]) -> DataFrame:
+    """One row per data file below each table's location: path, size, time of last change.
+
+    The listing asks the file system for each file's status and opens none; files whose
+    name starts with a dot or an underscore are left out, files without rows are not.
+    """
+    def one(name, location):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
+        return files.select(F.lit(name).alias("table_name"), "path", F.col("length").alias("size_bytes"),
+                            F.col("modificationTime").alias("modified_at"))
+    return _together(one(name, location) for name, location in locations.items())
+
+
+def file_stats(spark: SparkSession, locations: dict[str, str], fmt: str = "parquet",
+               database: str = "default") -> DataFrame:
+    """Rows, columns, files, stored bytes, time of last change and location of tables given
+    by their folders or files.
+
+    No value is read: sizes and times come from the listing, row counts from a scan without
+    columns (Parquet and ORC answer it from file footers).  A folder without data files has
+    no size, time or rows, if its schema can be read at all.
+    """
+    tables = {name: spark.read.format(fmt).load(location) for name, location in locations.items()}
+    known = spark.createDataFrame([(database, n, len(tables[n].columns), locations[n]) for n in tables],
+                                  "database string, table_name string, column_count bigint, location string")
+    files = file_listing(spark, locations).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("file_count"), F.sum("size_bytes").alias("size_bytes"),
+        F.max("modified_at").alias("last_modified"))
+    # proven bounds: one row per table
+    return (known.join(F.broadcast(files), "table_name", "left")
+            .join(F.broadcast(row_counts(tables)), "table_name", "left")
+            .select("database", "table_name", "column_count", F.coalesce("row_count", F.lit(0)).alias("row_count"),
+                    F.coalesce("file_count", F.lit(0)).alias("file_count"),
+                    F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), "last_modified", "location"))
+
+
+def registered_stats(spark: SparkSession, database: str = "default", selection: str | None = None) -> DataFrame:
+    """Statistics of the registered tables of a database, from the catalog.
+
+    Row count and size are the catalog's where a table has been analysed
+    (``counted`` is false).  Other tables are counted by a scan without columns and
+    have the size that the catalog knows, NULL if none.  Views are left out.
+    """
+    known, unknown = [], {}
+    for name in session_tables(spark, database, selection):
+        table = f"{quote(database)}.{quote(name)}"
+        info = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {table} AS JSON").first()[0])
+        stats = info.get("statistics") or {}
+        rows = stats.get("num_rows")
+        if rows is None:
+            unknown[name] = spark.table(table)
+        known.append((database, name, len(info["columns"]), rows, stats.get("size_in_bytes"), info.get("provider"),
+                      info.get("location"), rows is None))
+    schema = ("database string, table_name string, column_count bigint, stored_rows bigint, size_bytes bigint, "
+              "provider string, location string, counted boolean")
+    out = spark.createDataFrame(known, schema)
+    if unknown:  # proven bound: one row per table
+        out = out.join(F.broadcast(row_counts(unknown)), "table_name", "left")
+    else:
+        out = out.withColumn("row_count", F.lit(None).cast("bigint"))
+    return out.select("database", "table_name", "column_count",
+                      F.coalesce("stored_rows", "row_count", F.lit(0)).alias("row_count"),
+                      "size_bytes", "provider", "location", "counted")
 
 
 def column_stats(df: DataFrame, table: str, columns=None) -> DataFrame:

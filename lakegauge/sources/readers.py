@@ -53,9 +53,14 @@ def select_tables(catalog: DataFrame, selection: str | None) -> DataFrame:
     return catalog.where(F.col("table_name").rlike("^(?:" + table_selector(selection) + ")$"))
 
 
+def quote(name: str) -> str:
+    """A name as a quoted SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def session_tables(spark: SparkSession, database: str | None = None, selection: str | None = None) -> list[str]:
-    """Names of the registered tables that match the selection (metadata only)."""
-    names = [t.name for t in spark.catalog.listTables(database)]
+    """Names of the registered tables that match the selection (metadata only, no views)."""
+    names = [t.name for t in spark.catalog.listTables(database) if t.tableType not in ("TEMPORARY", "VIEW")]
     if not selection or selection.strip() in ("*", "all"):
         return names
     globs = [p.strip() for p in selection.split(",")]

@@ -1,10 +1,12 @@
+import datetime as dt
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakegauge.operators import anomalies as an, numeric as nu, patterns as pa, quality as qu, temporal as te, values as va
+from lakegauge.operators import anomalies as an, catalog as ca, numeric as nu, patterns as pa, quality as qu, temporal as te, values as va
 from lakegauge.plans import lake as lk, profile as pr
 
 
@@ -208,3 +210,59 @@ def test_profile_is_the_same_for_shuffled_rows_and_doubles_with_a_doubled_table(
 def test_failing_table_becomes_an_error_row(spark, tmp_path):
     got = lk.profile_all({"good": lambda: spark.range(3).toDF("id"), "bad": lambda: spark.read.parquet(str(tmp_path / "none"))})
     assert {(r["table_name"], r["failed"]) for r in got.collect()} == {("good", False), ("bad", True)}
+
+
+def test_a_table_that_fails_while_running_leaves_the_others(spark, tmp_path):
+    good, corrupt = str(tmp_path / "good"), tmp_path / "corrupt"
+    spark.range(50).write.parquet(good)
+    corrupt.mkdir()
+    for part in os.listdir(good):
+        if part.endswith(".parquet"):
+            data = open(os.path.join(good, part), "rb").read()
+            (corrupt / part).write_bytes(data[:4] + b"\0" * (len(data) - 12) + data[-8:])
+    schema = spark.read.parquet(good).schema
+    got = lk.profile_each(spark, {
+        "good": lambda: spark.read.parquet(good), "empty": lambda: spark.read.parquet(good).limit(0),
+        "corrupt": lambda: spark.read.schema(schema).parquet(str(corrupt)),
+        "missing": lambda: spark.read.parquet(str(tmp_path / "none")),
+        "raises": lambda: spark.range(9).selectExpr("if(id = 8, raise_error('x'), id) as id")}, workers=2)
+    rows = {r["table_name"]: r for r in got.collect()}
+    assert {n for n, r in rows.items() if r["failed"]} == {"corrupt", "missing", "raises"}
+    assert all(rows[n]["error"] for n in ("corrupt", "missing", "raises"))
+    assert rows["good"]["total_count"] == 50 and rows["good"]["mean"] == 24.5
+    only = lk.profile_each(spark, {"missing": lambda: spark.read.parquet(str(tmp_path / "none"))})
+    assert [r["failed"] for r in only.collect()] == [True]
+
+
+def test_file_statistics_equal_the_file_system(spark, tmp_path):
+    flat, parts, empty = str(tmp_path / "flat"), str(tmp_path / "parts"), str(tmp_path / "empty")
+    spark.range(1000).repartition(3).write.parquet(flat)
+    spark.range(1000).selectExpr("id", "id % 7 as d").write.partitionBy("d").parquet(parts)
+    spark.range(0).write.parquet(empty)
+    got = {r["table_name"]: r for r in ca.file_stats(spark, {"flat": flat, "parts": parts, "empty": empty}).collect()}
+    for name, rows, columns in (("flat", 1000, 1), ("parts", 1000, 2), ("empty", 0, 1)):
+        files = [os.path.join(top, f) for top, _, fs in os.walk(tmp_path / name) for f in fs if f.endswith(".parquet")]
+        row = got[name]
+        assert (row["row_count"], row["column_count"], row["file_count"]) == (rows, columns, len(files))
+        assert row["size_bytes"] == sum(os.path.getsize(f) for f in files)
+        newest = dt.datetime.fromtimestamp(max(os.path.getmtime(f) for f in files))
+        assert abs((row["last_modified"] - newest).total_seconds()) < 1
+        assert row["location"] == str(tmp_path / name)
+    plan = ca.file_stats(spark, {"flat": flat})._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and plan.count("ReadSchema: struct<>") == 1
+    assert ca.database_summary(ca.file_stats(spark, {"flat": flat, "empty": empty})).first()["total_rows"] == 1000
+
+
+def test_catalog_statistics_are_used_where_a_table_has_them(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS stats_db LOCATION '" + str(tmp_path / "db") + "'")
+    try:
+        for name in ("analysed", "plain", "other"):
+            spark.range(30).write.option("path", str(tmp_path / name)).saveAsTable(f"stats_db.{name}")
+        spark.sql("CREATE VIEW stats_db.seen AS SELECT 1 AS one")
+        spark.sql("ANALYZE TABLE stats_db.analysed COMPUTE STATISTICS")
+        got = {r["table_name"]: r for r in ca.registered_stats(spark, "stats_db", "analysed,p*,seen").collect()}
+        assert set(got) == {"analysed", "plain"}
+        assert [(got[n]["row_count"], got[n]["counted"]) for n in ("analysed", "plain")] == [(30, False), (30, True)]
+        assert got["analysed"]["size_bytes"] > 0 and got["analysed"]["location"].endswith("/analysed")
+    finally:
+        spark.sql("DROP DATABASE stats_db CASCADE")

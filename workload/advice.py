@@ -9,7 +9,7 @@ from lakegauge.plans import lake as lk
 from workload.common import CUSTOMER_COLUMNS, CUSTOMER_SQL, TABLES, lake, planted_customer, table, union_all
 from workload.quality import PROFILE_SQL, profiles
 from workload.relations import F2_SQL, G1_SQL, KEYS_SQL, PARTITIONED, STAR, SUFFIX_SQL, WITH, catalog, star
-from workload.sources import STATS_SQL
+from workload.sources import STATS_SQL, stored
 
 QUERIES, ORACLES = {}, {}
 SHOWN = ["title", "category", "priority", "description", "implementation_effort", "expected_benefit", "confidence",
@@ -87,6 +87,7 @@ ORACLES["j5_partition"] = f"with sizes as ({STATS_SQL}) " + J5_SQL
 J6_SQL = _rec_sql("'Optimize File Format for ' || table_name", "file_format", "medium",
                   "'Large table ' || table_name || ' could benefit from columnar storage format.'", "medium",
                   "30-70% reduction in storage and improved query performance", 0.7, "sizes where size_bytes > 1000000")
+QUERIES["j6_stored_size"] = lambda s, d: rc.columnar_format(stored(s, d), 1_000_000).select(*SHOWN)
 QUERIES["j6_file_format"] = lambda s, d: rc.columnar_format(ca.lake_stats(lake(s, d)), 1_000_000).select(*SHOWN)
 ORACLES["j6_file_format"] = f"with sizes as ({STATS_SQL}) " + J6_SQL
 

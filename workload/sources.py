@@ -66,6 +66,14 @@ QUERIES["a6_table_stats"] = lambda s, d: ca.lake_stats(lake(s, d))
 ORACLES["a6_table_stats"] = STATS_SQL
 
 
+# file sizes and times have no SQL twin: tested against the file system
+def stored(s, d):
+    return ca.file_stats(s, {t: f"{d}/{t}.parquet" for t in ALL})
+
+
+QUERIES["a6_file_stats"] = stored
+
+
 def _a7(s, d):
     """Write status shares as nested JSON and flat CSV, read both back and compare."""
     folder = fresh_path(s, "sink")
@@ -158,6 +166,16 @@ ORACLES["a12_profile_all"] = union_all(
  false as failed from {t}""" for t in ALL for c, k in TABLES[t].items()) + """
 union all select 'no_such_table', null, null, null, null, null, true"""
 
+# one more table, whose last row cannot be computed
+BROKEN = "case when r_name = 'EUROPE' then cast(raise_error('unreadable row') as string) else r_name end as r_name"
+QUERIES["a12_profile_each"] = lambda s, d: rounded(lk.profile_each(
+    s, {**{t: (lambda t=t: table(s, d, t)) for t in [*ALL, "no_such_table"]},
+        "broken": lambda: table(s, d, "region").selectExpr("r_regionkey", BROKEN)})
+    .select("table_name", "column_name", "total_count", "null_count", "unique_count", "mean", "failed"))
+ORACLES["a12_profile_each"] = ORACLES["a12_profile_all"] + """
+union all select 'broken', null, null, null, null, null, true"""
+
+QUERIES["a13_stored_summary"] = lambda s, d: ca.database_summary(stored(s, d))
 QUERIES["a13_db_summary"] = lambda s, d: ca.database_summary(ca.lake_stats(lake(s, d)))
 ORACLES["a13_db_summary"] = f"""select database, count(*) as total_tables, cast(sum(column_count) as bigint) as total_columns,
  cast(sum(row_count) as bigint) as total_rows, cast(sum(size_bytes) as bigint) as total_size_bytes from ({STATS_SQL}) group by database"""
