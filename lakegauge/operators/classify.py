@@ -195,15 +195,19 @@ def documentation_tables(catalog: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def documentation_summary(doc: DataFrame) -> DataFrame:
-    """Documentation coverage of tables and columns with low-coverage flags."""
+    """Documentation coverage of tables, columns and rows with low-coverage flags; a row is
+    documented if its table is."""
     t = doc.agg(F.count(F.lit(1)).alias("total_tables"), F.count_if("documented").alias("documented_tables"),
-                F.sum("columns").alias("total_columns"), F.sum("documented_columns").alias("documented_columns"))
+                F.sum("columns").alias("total_columns"), F.sum("documented_columns").alias("documented_columns"),
+                F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"),
+                F.coalesce(F.sum(F.when(F.col("documented"), F.col("row_count"))), F.lit(0)).alias("documented_rows"))
 
     def share(part, whole):
         return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)) * 100, F.lit(0.0))
 
     return (t.withColumn("table_documentation_pct", share("documented_tables", "total_tables"))
             .withColumn("column_documentation_pct", share("documented_columns", "total_columns"))
+            .withColumn("row_documentation_pct", share("documented_rows", "total_rows"))
             .withColumn("low_table_coverage", F.col("table_documentation_pct") < 50)
             .withColumn("low_column_coverage", F.col("column_documentation_pct") < 30))
 
@@ -228,20 +232,25 @@ def descriptions(catalog: DataFrame, first: int = 10) -> DataFrame:
 
 
 def business_context(catalog: DataFrame, comments: DataFrame, references: DataFrame) -> DataFrame:
-    """(kind, entry) rows: domains, purposes, key entities and data flows of the lake."""
+    """Domains, purposes, key entities and data flows of the lake as (kind, entry) rows, each
+    with the number of tables behind it and their rows (a table counts once an entry)."""
     name = F.lower("column_name")
     entity = F.replace(F.replace(F.replace(name, F.lit("_id"), F.lit("")), F.lit("_key"), F.lit("")),
                        F.lit("_code"), F.lit(""))
 
     def rows(df, kind, entry):
-        return df.select(F.lit(kind).alias("kind"), entry.alias("entry")).distinct()
+        return df.select(F.lit(kind).alias("kind"), entry.alias("entry"), "table_name", "row_count")
 
-    return (rows(domains(catalog), "domain", F.col("domain"))
-            .unionByName(rows(comments.where(F.length("table_comment") > 0), "purpose",
-                              F.concat("table_name", F.lit(": "), "table_comment")))
+    noted = (comments.where(F.length("table_comment") > 0)
+             .join(catalog.groupBy("table_name").agg(F.max("row_count").alias("row_count")), "table_name", "left"))
+    behind = (rows(domains(catalog), "domain", F.col("domain"))
+            .unionByName(rows(noted, "purpose", F.concat("table_name", F.lit(": "), "table_comment")))
             .unionByName(rows(catalog.where(contains_any(name, ["id", "key", "code"])), "entity", entity))
             .unionByName(rows(references, "flow", F.concat("table_name", F.lit("."), "column_name",
                                                            F.lit(" -> "), "likely_references"))))
+    return (behind.groupBy("kind", "entry", "table_name").agg(F.max("row_count").alias("row_count"))
+            .groupBy("kind", "entry").agg(F.count(F.lit(1)).alias("tables"),
+                                          F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count")))
 
 
 def size_label(size: Column) -> Column:

@@ -1,7 +1,8 @@
 """Partition listings, formats, recency and row-count estimates.
 
-Partition columns are ordinary columns for Spark: a listing is the distinct
-values of the partition column, which a partitioned table answers from metadata.
+Partition columns are ordinary columns for Spark: counts by a partition column of a
+table written with ``partitionBy`` come from file footers, a filter on it skips the other
+folders, and :func:`stored_partitions` lists the folders without opening a file.
 Dates are parameters; nothing here reads the clock.
 """
 
@@ -9,10 +10,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakegauge.functions import vocab
 from lakegauge.functions.exprs import contains_any, quoted
+from lakegauge.operators.catalog import file_listing
 
 DAYS_IN_5_YEARS = 5 * 365
 _PARSERS = {"YYYYMMDD": "yyyyMMdd", "YYYY-MM-DD": "yyyy-MM-dd", "YYYY-MM": "yyyy-MM"}
@@ -27,11 +29,32 @@ def partition_list(df: DataFrame, spec: str, first: int = 10) -> DataFrame:
             .withColumn("listed", F.coalesce("listed", F.lit(False))))
 
 
-def show_partitions(spark, table: str) -> DataFrame:
+def show_partitions(spark: SparkSession, table: str) -> DataFrame:
     """Partition specifications of a registered table (metadata only)."""
     return spark.sql(f"SHOW PARTITIONS {table}")
 
 
+def stored_partitions(spark: SparkSession, location: str) -> DataFrame:
+    """Partitions (``a=1/b=2``) below the folder of a table with files, bytes and time of the
+    last change, from the file listing alone.
+
+    Escaped characters of folder names are decoded; files outside any partition folder
+    are left out, partitions without data files do not show.
+    """
+    folder = F.regexp_extract("path", "((?:/[^/=]+=[^/]*)+)/[^/]+$", 1)
+    # folder names escape by percent signs only: a plus stays a plus
+    name = F.url_decode(F.replace(F.substr(folder, F.lit(2)), F.lit("+"), F.lit("%2B")))
+    return (file_listing(spark, {"": location}).where(folder != "").groupBy(name.alias("partition"))
+            .agg(F.count(F.lit(1)).alias("file_count"), F.sum("size_bytes").alias("size_bytes"),
+                 F.max("modified_at").alias("last_modified")))
+
+
+def partition_spec(columns: list[str]) -> Column:
+    """The specification ``a=1/b=2`` of a row's partition; NULL as the writer names it."""
+    null = F.lit("__HIVE_DEFAULT_PARTITION__")
+    return F.concat_ws("/", *[F.concat(F.lit(c + "="), F.coalesce(quoted(c).cast("string"), null)) for c in columns])
+
+
 def parse_partitions(parts: DataFrame, spec: str = "partition") -> DataFrame:
     """One row per partition and key of ``a=1/b=2`` texts, with date-key flag."""
     pieces = F.filter(F.split(F.col(spec), "/"), lambda p: p.contains("="))

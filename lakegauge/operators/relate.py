@@ -144,11 +144,17 @@ def shared_columns(catalog: DataFrame, classes: DataFrame | None = None) -> Data
     return out
 
 
-def shared_totals(shared: DataFrame) -> DataFrame:
-    """Per table pair: shared columns in total, strong ones, and their names."""
-    return shared.groupBy("table1", "table2").agg(
+def shared_totals(shared: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Per table pair: shared columns in total, strong ones, and their names; with a
+    catalog also the rows of both tables."""
+    out = shared.groupBy("table1", "table2").agg(
         F.count(F.lit(1)).alias("total_relationships"), F.count_if(F.col("strength") == "high").alias("strong_relationships"),
         F.array_join(F.array_sort(F.collect_set("column_name")), ", ").alias("common_columns"))
+    if catalog is not None:
+        rows = catalog.groupBy("table_name").agg(F.max("row_count").alias("n"))
+        out = (out.join(rows.toDF("table1", "row_count1"), "table1", "left")
+               .join(rows.toDF("table2", "row_count2"), "table2", "left"))
+    return out
 
 
 def fact_dimension_links(catalog: DataFrame, classes: DataFrame) -> DataFrame:

@@ -15,6 +15,16 @@ def write_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "error
     writer.format(fmt).save(path)
 
 
+def write_partitioned(df: DataFrame, path: str, columns: list[str], fmt: str = "parquet",
+                      mode: str = "errorifexists") -> None:
+    """Write a table with one folder per combination of values of the columns.
+
+    Rows of a partition come together first, so that it gets few files; adaptive
+    execution splits partitions that are larger than a task should be.
+    """
+    df.hint("rebalance", *columns).write.mode(mode).partitionBy(*columns).format(fmt).save(path)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, so that CSV can hold them."""
     nested = (T.ArrayType, T.MapType, T.StructType)

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -186,3 +187,29 @@ def test_csv_sink_keeps_nested_columns_as_json(spark, tmp_path):
     sk.write_result(df, str(tmp_path / "out"), "csv")
     row = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out")).first()
     assert (row["s"], row["m"], row["l"]) == ('a"b', '{"k":1}', "[1,2]")
+
+
+def test_stored_partitions_are_listed_and_skipped_by_folder(spark, tmp_path):
+    rows = [(i, None if i % 10 == 0 else f"2024-0{i % 3 + 1}", "a/b +:x" if i % 2 else "c") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, month string, kind string")
+    path = str(tmp_path / "stored")
+    sk.write_partitioned(df, path, ["month", "kind"])
+    want = {}
+    for _, month, kind in rows:
+        spec = f"month={month or '__HIVE_DEFAULT_PARTITION__'}/kind={kind}"
+        want[spec] = want.get(spec, 0) + 1
+    got = {r["partition"]: r for r in pt.stored_partitions(spark, path).collect()}
+    assert set(got) == set(want)
+    assert sum(r["file_count"] for r in got.values()) == sum(f.endswith(".parquet") for _, _, fs in os.walk(path) for f in fs)
+    stored = spark.read.schema(df.schema).parquet(path)
+    counted = pt.partition_list(stored.select(pt.partition_spec(["month", "kind"]).alias("s")), "s")
+    assert {r["partition"]: r["row_count"] for r in counted.collect()} == want
+    sample = pt.recent_sample(stored, "month", "2024-02-10", "YYYY-MM")
+    assert sample.first()["recent_sample_count"] == sum(m == "2024-02" for _, m, _ in rows)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2024-02" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "ReadSchema: struct<>" in plan
+    listing = pt.stored_partitions(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in listing and "Parquet" not in listing
+    spark.range(3).write.parquet(str(tmp_path / "flat"))
+    assert pt.stored_partitions(spark, str(tmp_path / "flat")).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakegauge.operators import catalog as ca, partitions as pt
+from lakegauge.sources import sinks as sk
+from lakegauge.sources.work import fresh_path
 from workload.common import ORDERS_SQL, lake, planted_orders, table, union_all
 from workload.relations import star, WITH
 from workload.sources import CATALOG_SQL
@@ -77,6 +79,39 @@ def _estimate_sql(c, shape):
 
 ORACLES["h6_rowcount_estimate"] = PM + union_all(_estimate_sql(c, f) for c, f in CASES)
 
+# orders stored by month: folders listed without opening files, rows counted from footers, other months skipped
+MONTH = ("order_month", "YYYY-MM")
+
+
+def _stored(s, d):
+    path = fresh_path(s, "orders-by-month")
+    sk.write_partitioned(_monthly(s, d), path, ["order_month"])
+    return path
+
+
+def _months(s, path):
+    # months stay texts
+    return s.read.schema("o_orderkey bigint, order_month string").parquet(path)
+
+
+def _h1_stored(s, d):
+    path = _stored(s, d)
+    counted = pt.partition_list(_months(s, path).select(pt.partition_spec(["order_month"]).alias("spec")), "spec")
+    return pt.stored_partitions(s, path).where("file_count > 0 and size_bytes > 0").select("partition").join(counted, "partition")
+
+
+QUERIES["h1_stored_partitions"] = _h1_stored
+ORACLES["h1_stored_partitions"] = PM + """select 'order_month=' || order_month as partition, count(*) as row_count,
+ row_number() over (order by order_month) <= 10 as listed from p group by order_month"""
+QUERIES["h4_stored_recent"] = lambda s, d: pt.recent_partitions(_months(s, _stored(s, d)), "order_month", AS_OF).withColumn(
+    "partition_date", F.col("partition_date").cast("string"))
+ORACLES["h4_stored_recent"] = PM + f""", m as (select order_month as date_value, count(*) as row_count, cast(strptime(order_month || '-01', '%Y-%m-%d') as date) as first from p group by 1)
+ select date_value, row_count, 'YYYY-MM' as partition_format, cast(first as varchar) as partition_date, first >= date '{AS_OF}' - 30 as is_recent, first >= date '{AS_OF}' - 1825 as in_5_years from m"""
+QUERIES["h5_stored_sample"] = lambda s, d: pt.recent_sample(_months(s, _stored(s, d)), "order_month", AS_OF, "YYYY-MM")
+ORACLES["h5_stored_sample"] = PM + f"""select 'order_month' as partition_column, count(*) as recent_sample_count, 'last 1 month' as sample_period from p where {RECENT['order_month']}"""
+QUERIES["h6_stored_estimate"] = lambda s, d: pt.row_count_estimate(_months(s, _stored(s, d)), "order_month", AS_OF, "YYYY-MM")
+ORACLES["h6_stored_estimate"] = PM + _estimate_sql(*MONTH)
+
 QUERIES["h7_partition_like"] = lambda s, d: pt.partition_like_columns(ca.lake_catalog(
     {**lake(s, d), **star(s, d), "orders_keyed": planted_orders(s, d)}))
 ORACLES["h7_partition_like"] = WITH + f""", k as (select table_name, c, column_name, row_count from cat union all select table_name, lower(column_name), column_name, row_count from {CATALOG_SQL} where table_name <> 'orders'

@@ -215,8 +215,10 @@ QUERIES["f12_documentation"] = lambda s, d: cl.documentation_tables(catalog(s, d
 ORACLES["f12_documentation"] = WITH + F12_SQL + " select * from doc"
 QUERIES["f12_documentation_summary"] = lambda s, d: rounded(cl.documentation_summary(cl.documentation_tables(catalog(s, d), comments(s))))
 ORACLES["f12_documentation_summary"] = WITH + F12_SQL + """, t as (select count(*) as total_tables, count(*) filter (documented) as documented_tables,
- cast(sum(columns) as bigint) as total_columns, cast(sum(documented_columns) as bigint) as documented_columns from doc)
+ cast(sum(columns) as bigint) as total_columns, cast(sum(documented_columns) as bigint) as documented_columns,
+ cast(sum(row_count) as bigint) as total_rows, cast(coalesce(sum(row_count) filter (documented), 0) as bigint) as documented_rows from doc)
  select *, round(documented_tables / total_tables * 100, 4) as table_documentation_pct, round(documented_columns / total_columns * 100, 4) as column_documentation_pct,
+ case when total_rows = 0 then 0.0 else round(documented_rows / total_rows * 100, 4) end as row_documentation_pct,
  documented_tables / total_tables * 100 < 50 as low_table_coverage, documented_columns / total_columns * 100 < 30 as low_column_coverage from t"""
 QUERIES["f13_description"] = lambda s, d: cl.descriptions(catalog(s, d))
 ORACLES["f13_description"] = WITH + f""", g as (select table_name, max(row_count) as row_count, count(*) as n, count(*) filter ({DOCUMENTED}) as k,
@@ -240,10 +242,11 @@ def _f14(s, d):
 
 
 QUERIES["f14_business_context"] = _f14
-ORACLES["f14_business_context"] = WITH + SUFFIX_SQL + ", allcat as (select table_name, c, row_count from cat)" + F6_SQL + """
- select 'domain' as kind, domain as entry from dom group by all union all select 'purpose', table_name || ': ' || table_comment from notes where table_comment <> ''
- union all (select distinct 'entity', replace(replace(replace(c, '_id', ''), '_key', ''), '_code', '') from cat where regexp_matches(c, 'id|key|code'))
- union all select 'flow', table_name || '.' || column_name || ' -> ' || likely_references from refs2"""
+ORACLES["f14_business_context"] = WITH + SUFFIX_SQL + ", allcat as (select table_name, c, row_count from cat)" + F6_SQL + """, size as (select table_name, max(row_count) as row_count from cat group by 1),
+ behind as (select 'domain' as kind, domain as entry, table_name from dom union select 'purpose', table_name || ': ' || table_comment, table_name from notes where table_comment <> ''
+ union select 'entity', replace(replace(replace(c, '_id', ''), '_key', ''), '_code', ''), table_name from cat where regexp_matches(c, 'id|key|code')
+ union select 'flow', table_name || '.' || column_name || ' -> ' || likely_references, table_name from refs2)
+ select kind, entry, count(*) as tables, cast(coalesce(sum(row_count), 0) as bigint) as row_count from behind left join size using (table_name) group by 1, 2"""
 
 QUERIES["f15_size_label"] = lambda s, d: (ca.lake_stats(lake(s, d)).select("table_name", "size_bytes")
     .unionByName(table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("table_name"),
@@ -326,9 +329,10 @@ def _shared(s, d):
 
 QUERIES["g8_pair_strength"] = lambda s, d: _shared(s, d)
 ORACLES["g8_pair_strength"] = WITH + G8_SQL + " select * from shared"
-QUERIES["g8_pair_totals"] = lambda s, d: re.shared_totals(_shared(s, d))
+QUERIES["g8_pair_totals"] = lambda s, d: re.shared_totals(_shared(s, d), catalog(s, d))
 ORACLES["g8_pair_totals"] = WITH + G8_SQL + """ select table1, table2, count(*) as total_relationships, count(*) filter (strength = 'high') as strong_relationships,
- string_agg(column_name, ', ' order by column_name) as common_columns from shared group by 1, 2"""
+ string_agg(column_name, ', ' order by column_name) as common_columns, any_value(x.row_count) as row_count1, any_value(y.row_count) as row_count2
+ from shared join (select distinct table_name, row_count from cat) x on x.table_name = table1 join (select distinct table_name, row_count from cat) y on y.table_name = table2 group by 1, 2"""
 QUERIES["g9_fact_dim_links"] = lambda s, d: re.fact_dimension_links(catalog(s, d), cl.table_classes(catalog(s, d)))
 ORACLES["g9_fact_dim_links"] = WITH + CLASS_SQL + """, t as (select cat.*, table_classification as k from cat join classes using (table_name))
  select a.table_name as fact_table, b.table_name as dimension_table, string_agg(distinct a.column_name, ', ' order by a.column_name) as linking_columns,
