@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakegauge.functions import vocab
 from lakegauge.functions.exprs import contains_any, fixed
@@ -204,10 +204,37 @@ def name_tokens(catalog: DataFrame) -> DataFrame:
             .select("pattern", F.array_join("t", ", ").alias("tables"), F.size("t").cast("bigint").alias("frequency"), "rows_covered"))
 
 
+def similar_candidates(catalog: DataFrame, limit: float = 50.0) -> DataFrame:
+    """(table1, table2) pairs, each once, that may share more than ``limit`` percent of their
+    columns; no pair above the limit is missing.
+
+    The columns of a table are put in order of rarity.  Sets of n columns that are similar
+    enough share one of their rarest n - floor(n * limit / 100), so only these meet: a column
+    of every table, like an audit date, is among them in tables of few columns only.  Pairs
+    whose sizes or positions of the met column leave too little room are not formed.
+    """
+    slack = 1e-9  # rounding may only keep a pair too many
+    c = catalog.where("column_name is not null").select("table_name", "column_name").distinct()
+    rarity = c.groupBy("column_name").agg(F.count(F.lit(1)).alias("tables"))
+    # bounded by the columns of one table
+    mine = Window.partitionBy("table_name")
+    placed = (c.join(rarity, "column_name")
+              .withColumn("n", F.count(F.lit(1)).over(mine))
+              .withColumn("at", F.row_number().over(mine.orderBy("tables", "column_name"))))
+    rare = placed.where(F.col("at") <= F.col("n") - F.floor(F.col("n") * (limit / 100) - slack))
+    one = rare.select(F.col("table_name").alias("table1"), "column_name", F.col("n").alias("n1"), F.col("at").alias("at1"))
+    two = rare.select(F.col("table_name").alias("table2"), "column_name", F.col("n").alias("n2"), F.col("at").alias("at2"))
+    most = F.least("at1", "at2") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    fits = ((F.least("n1", "n2") * 100 > F.greatest("n1", "n2") * limit - slack)
+            & (most * (100 + limit) > (F.col("n1") + F.col("n2")) * limit - slack))
+    return (one.join(two, (one["column_name"] == two["column_name"]) & (one["table1"] < two["table2"]) & fits)
+            .select("table1", "table2").distinct())
+
+
 def schema_similarity(catalog: DataFrame, tables: DataFrame, limit: float = 50.0) -> DataFrame:
     """Table pairs whose column sets overlap by more than ``limit`` percent (Jaccard).
 
-    Only pairs that share a column are formed.  ``tables`` has table_name,
+    Only the pairs of :func:`similar_candidates` are formed.  ``tables`` has table_name,
     row_count, is_partitioned and table_classification.  Column lists of one table
     are bounded by its schema.
     """
@@ -215,13 +242,10 @@ def schema_similarity(catalog: DataFrame, tables: DataFrame, limit: float = 50.0
         F.collect_set("column_name").alias("columns"),
         F.map_from_entries(F.collect_set(F.struct("column_name", "data_type"))).alias("types"))
     info = columns.join(tables, "table_name")
-    c = catalog.select("table_name", "column_name").distinct()
-    shared = (c.select(F.col("table_name").alias("table1"), "column_name")
-              .join(c.select(F.col("table_name").alias("table2"), "column_name"), "column_name").where("table1 < table2")
-              .groupBy("table1", "table2").agg(F.count(F.lit(1)).alias("common_columns_count")))
     left = info.select(*[F.col(x).alias("table1" if x == "table_name" else "a_" + x) for x in info.columns])
     right = info.select(*[F.col(x).alias("table2" if x == "table_name" else "b_" + x) for x in info.columns])
-    p = shared.join(left, "table1").join(right, "table2")
+    p = (similar_candidates(catalog, limit).join(left, "table1").join(right, "table2")
+         .withColumn("common_columns_count", F.size(F.array_intersect("a_columns", "b_columns")).cast("bigint")))
     union = F.size("a_columns") + F.size("b_columns") - F.col("common_columns_count")
     exact = F.col("common_columns_count") / union * 100
     ratio = F.try_divide(F.col("a_row_count").cast("double"), F.col("b_row_count"))

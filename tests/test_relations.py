@@ -213,3 +213,27 @@ def test_stored_partitions_are_listed_and_skipped_by_folder(spark, tmp_path):
     assert "content" not in listing and "Parquet" not in listing
     spark.range(3).write.parquet(str(tmp_path / "flat"))
     assert pt.stored_partitions(spark, str(tmp_path / "flat")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0.0, 29.0, 50.0, 70.0, 99.0])
+def test_similar_schemas_equal_all_pairs(spark, limit):
+    rng = random.Random(int(limit))
+    sets = {}
+    for i in range(120):
+        base = set(rng.choice(list(sets.values()))) if sets and rng.random() < 0.5 else set()
+        new = {f"c{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randint(1, 9))}
+        sets[f"t{i:03}"] = {c for c in base if rng.random() < 0.8} | new
+    cat = catalog(spark, {t: (10, [(c, "int") for c in sorted(cs)]) for t, cs in sets.items()})
+    info = cat.groupBy("table_name").agg(F.max("row_count").alias("row_count")).withColumn(
+        "is_partitioned", F.lit(False)).withColumn("table_classification", F.lit("unknown"))
+    got = {(r["table1"], r["table2"]): r["common_columns_count"] for r in re.schema_similarity(cat, info, limit).collect()}
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) * 100 > limit}
+    assert got == want
+
+
+def test_a_column_of_every_table_forms_no_pairs(spark):
+    lake = {f"t{i:04}": (10, [("id", "int"), ("updated_at", "date")] + [(f"c{i // 2}_{j}", "int") for j in range(4)])
+            for i in range(2000)}
+    assert re.similar_candidates(catalog(spark, lake)).count() == 1000
+    assert re.similar_candidates(catalog(spark, lake).limit(0)).count() == 0
