@@ -269,39 +269,65 @@ def rank(consolidated: DataFrame, order: list[str]) -> DataFrame:
 
 # --- de-duplication -----------------------------------------------------------------------------
 
+HOT = 100_000  # rows of a token in one share
+
 def _token_set(title: Column) -> Column:
     return F.array_sort(F.array_distinct(_words(F.lower(title))))
 
 
-def prefix_rows(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(token, place, pos, n, rows): the leading tokens of every token set.
+def _share(freq: Column, hot: int) -> Column:
+    """Into how many shares the rows of a token of this frequency are split."""
+    return F.lit(1) + F.floor(freq / F.lit(hot))
+
+
+def prefix_rows(sets: DataFrame, threshold: float = 0.8, spread: int = 32) -> DataFrame:
+    """(token, freq, place, pos, n, rows): the leading tokens of every token set.
 
     Two sets with Jaccard above the threshold share one of their first
     ``n - floor(threshold * n)`` tokens in rarest-first order (prefix filter of the
     set-similarity-join literature), so only sets that share such a token can match.
+    Frequencies come back to the tokens by (token, salt), at most ``spread`` rows a
+    token, so the rows of a frequent token are not gathered by its key.
     """
-    tokens = sets.select("pos", F.explode("tokens").alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    ordered = (tokens.join(rarity, "token").groupBy("pos")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("freq", "token"))), lambda s: s["token"]).alias("tokens")))
+    salt = F.pmod(F.xxhash64("pos"), F.lit(spread)).alias("salt")
+    tokens = sets.select("pos", salt, F.explode("tokens").alias("token"))
+    counted = tokens.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("here"))
+    rarity = (counted.groupBy("token").agg(F.sum("here").alias("freq"), F.collect_list("salt").alias("salts"))
+              .select("token", "freq", F.explode("salts").alias("salt")))
+    ordered = (tokens.join(rarity, ["token", "salt"]).groupBy("pos")
+               .agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("tokens")))
     n = F.size("tokens")
     rows = n - F.floor(n * F.lit(threshold) + 1e-9).cast("int")
     return ordered.withColumn("n", n).withColumn("rows", rows).select(
-        "pos", "n", "rows", F.posexplode(F.slice("tokens", 1, F.col("rows"))).alias("place", "token"))
+        "pos", "n", "rows", F.posexplode(F.slice("tokens", 1, F.col("rows"))).alias("place", "t")).select(
+        "pos", "n", "rows", "place", "t.token", "t.freq")
 
 
-def similar_pairs(leaders: DataFrame, heads: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+def earliest(heads: DataFrame, lead: int, hot: int) -> DataFrame:
+    """The ``lead`` earliest rows of each token: first within shares of a frequent token, then over the shares' firsts."""
+    share = F.pmod(F.xxhash64("pos"), _share(F.col("freq"), hot))
+    among = F.row_number().over(Window.partitionBy("token", "share").orderBy("pos"))
+    firsts = heads.withColumn("share", share).withColumn("nth", among).where(F.col("nth") <= lead)
+    nth = F.row_number().over(Window.partitionBy("token").orderBy("pos"))
+    return firsts.drop("share").withColumn("nth", nth).where(F.col("nth") <= lead)
+
+
+def similar_pairs(leaders: DataFrame, heads: DataFrame, sets: DataFrame, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
     """(earlier, later): leaders and later sets with Jaccard above the threshold.
 
+    Sets meet by (token, share): the rows of a frequent token lie in shares of about
+    ``hot`` rows, and its few leaders visit each share.
+
     Pairs whose first shared token comes too late for the needed overlap are cut
     by comparing places; only the pairs left fetch their token sets.
     """
     names = ["pos", "n", "place"]
-    a = leaders.select("token", *[F.col(c).alias("a_" + c) for c in names])
-    b = heads.select("token", *[F.col(c).alias("b_" + c) for c in names])
+    shares = _share(F.col("freq"), hot)
+    a = leaders.select("token", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)).alias("share"), *[F.col(c).alias("a_" + c) for c in names])
+    b = heads.select("token", F.pmod(F.xxhash64("pos"), shares).alias("share"), *[F.col(c).alias("b_" + c) for c in names])
     reach = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     need = F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n"))
-    near = (a.join(b, "token").where((F.col("a_pos") < F.col("b_pos")) & (reach > need + 1e-9))
+    near = (a.join(b, ["token", "share"]).where((F.col("a_pos") < F.col("b_pos")) & (reach > need + 1e-9))
             .select(F.col("a_pos").alias("earlier"), F.col("b_pos").alias("later")).distinct())
     common = F.size(F.array_intersect("x", "y"))
     jaccard = common / (F.size("x") + F.size("y") - common)
@@ -318,33 +344,31 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _greedy(ready: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pos, kept) for the ready sets whose fate is settled by the pairs.
+def _greedy(ready: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pos) of the sets that are kept, and of those that are dropped, as far as the pairs settle it.
 
-    In rounds, a set with an earlier kept neighbour is dropped and a set without
-    an earlier kept or undecided neighbour is kept; it ends when a round settles
-    nothing.  A neighbour that is not ready counts as undecided.
+    A ready set without an open earlier neighbour is kept, and all its later
+    neighbours are dropped; a dropped set blocks nobody.  Each round carries only
+    the ready sets and the pairs that are still open, until a round keeps nothing.
+    A neighbour that is not ready counts as open until it is dropped.
     """
-    linked = pairs.select(F.col("later").alias("pos")).distinct()
-    state = _checkpointed(ready.join(linked.withColumn("linked", F.lit(True)), "pos", "left")
-                          .select("pos", F.when(F.col("linked").isNull(), True).alias("kept")))
-    open_sets = state.where("kept is null").count()
-    while open_sets:
-        seen = (pairs.join(state.select(F.col("pos").alias("earlier"), F.col("kept").alias("e")), "earlier", "left")
-                .groupBy(F.col("later").alias("pos"))
-                .agg(F.bool_or(F.coalesce("e", F.lit(False))).alias("kept_before"), F.bool_or(F.col("e").isNull()).alias("open_before")))
-        decided = (F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("kept_before"), False)
-                   .when(~F.col("open_before"), True))
-        state = _checkpointed(state.join(seen, "pos", "left").select("pos", decided.alias("kept")))
-        left = state.where("kept is null").count()
-        if left == open_sets:
+    kept, dropped = [], []
+    while True:
+        free = _checkpointed(ready.join(pairs.select(F.col("later").alias("pos")).distinct(), "pos", "left_anti"))
+        if free.isEmpty():
             break
-        open_sets = left
-    return state.where("kept is not null")
+        beaten = _checkpointed(pairs.join(free.withColumnRenamed("pos", "earlier"), "earlier", "left_semi").select(F.col("later").alias("pos")).distinct())
+        kept.append(free)
+        dropped.append(beaten)
+        ready = _checkpointed(ready.join(free.unionByName(beaten), "pos", "left_anti"))
+        pairs = _checkpointed(pairs.join(beaten.withColumnRenamed("pos", "later"), "later", "left_anti")
+                              .join(beaten.withColumnRenamed("pos", "earlier"), "earlier", "left_anti"))
+    none = ready.limit(0)
+    return reduce(DataFrame.unionByName, kept, none), reduce(DataFrame.unionByName, dropped, none)
 
 
 def deduplicate(rows: DataFrame, order: list[str], title: str = "title", threshold: float = 0.8,
-                lead: int = 256) -> DataFrame:
+                lead: int = 256, hot: int = HOT) -> DataFrame:
     """Keep a row unless its title is similar to an earlier kept title, in input order.
 
     Titles with equal token sets collapse to their first row before any pair is
@@ -352,24 +376,24 @@ def deduplicate(rows: DataFrame, order: list[str], title: str = "title", thresho
     in passes: only the ``lead`` earliest open sets of a token meet the others, so
     a mass of near copies is dropped against its first members instead of pairwise.
     The limit doubles from pass to pass until every set is settled; it bounds the
-    work of a pass, not the result.
+    work of a pass, not the result.  The rows of a token that more than ``hot`` sets
+    hold are split into shares, for the search of its leaders and for the pairs.
+    A NULL title has no tokens and is kept.
     """
     at = F.struct(*order)
-    with_set = rows.withColumn("_set", _token_set(F.col(title)))
+    with_set = rows.withColumn("_set", F.coalesce(_token_set(F.col(title)), F.array().cast("array<string>")))
     firsts = (with_set.where(F.size("_set") > 0).groupBy("_set").agg(F.min(at).alias("pos"))
               .select("pos", F.col("_set").alias("tokens")))
     sets = _checkpointed(firsts)
     heads = _checkpointed(prefix_rows(sets, threshold))
     winners = []
     while not heads.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("token").orderBy("pos"))
-        leaders = heads.withColumn("nth", nth).where(F.col("nth") <= lead)
-        pairs = _checkpointed(similar_pairs(leaders, heads, sets, threshold))
+        leaders = _checkpointed(earliest(heads, lead, hot))
+        pairs = _checkpointed(similar_pairs(leaders, heads, sets, threshold, hot))
         ready = leaders.groupBy("pos", "rows").count().where("count = rows").select("pos")
-        settled = _greedy(ready, pairs)
-        winners.append(settled.where("kept").select("pos"))
-        beaten = pairs.join(winners[-1].withColumnRenamed("pos", "earlier"), "earlier", "left_semi").select(F.col("later").alias("pos"))
-        heads = _checkpointed(heads.join(settled.select("pos").unionByName(beaten).distinct(), "pos", "left_anti"))
+        kept, dropped = _greedy(ready, pairs)
+        winners.append(kept)
+        heads = _checkpointed(heads.join(kept.unionByName(dropped), "pos", "left_anti"))
         lead *= 2
     kept = with_set.where(F.size("_set") == 0)  # an empty title is never similar to another
     if winners:
