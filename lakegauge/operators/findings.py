@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakegauge.functions import vocab
 from lakegauge.functions.exprs import first_rule
-from lakegauge.sources.work import work_folder
+from lakegauge.sources.work import work_folder, written
 
 # fixed values: characters that count as white space when lines are stripped
 WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -199,18 +199,43 @@ def findings(docs: DataFrame, text: str = "text") -> DataFrame:
     return t.withColumn("priority", p)
 
 
-def mentions(finding_rows: DataFrame, tables: list[str], metrics: DataFrame | None = None) -> DataFrame:
-    """Tables named in a finding (title, for analysis also the description), the first
-    of them, and its metrics.  ``tables`` are catalog names, in catalog order."""
-    title, description = F.lower("title"), F.lower("description")
-    also = F.col("stage") == "analysis"
-    names = F.array(*[F.lit(t) for t in tables])
-    hit = F.filter(names, lambda n: title.contains(F.lower(n)) | (also & description.contains(F.lower(n))))
-    out = finding_rows.withColumn("_hit", hit).where(F.size("_hit") > 0).select(
-        "*", F.array_join("_hit", ", ").alias("associated_tables"), F.get("_hit", F.lit(0)).alias("table_name")).drop("_hit")
-    return out if metrics is None else out.join(F.broadcast(metrics), "table_name", "left")  # proven bound: one row per table
+_RUN, _HEAD = r"[\p{L}\p{N}_]+", 3
 
 
+def mentions(finding_rows: DataFrame, catalog: DataFrame, keys=("doc_id", "section", "item"), order=("table_name",)) -> DataFrame:
+    """Tables named in a finding (title, for analysis also the description), the first of them, and its metrics.
+
+    ``catalog`` has a row per table: table_name and metrics, in the ``order`` of these columns; ``keys`` name a finding.  A name
+    stands in a text where its longest run of letters, digits and underscores stands inside such a run of the text, so
+    the distinct words of all texts meet the names by the first letters of these runs, found words bring their tables
+    to the findings that hold them, and the whole name is looked for in the finding at last.  A frequent word is a row per
+    task in the search and a row per table after it.  A name without any such run, or NULL, is never mentioned; a NULL
+    title or description mentions nothing.
+    """
+    keys = list(keys)
+    rows = written(finding_rows, "findings")  # read for its words and once more for the answer
+    title = F.lower(F.coalesce("title", F.lit("")))
+    description = F.when(F.col("stage") == "analysis", F.lower("description"))
+    name = F.lower("table_name")
+    runs = F.regexp_extract_all(name, F.lit(_RUN), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+    named = (catalog.select(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("table_name").alias("shown"), name.alias("name")).alias("named"), longest.alias("anchor"))
+             .where("anchor is not null").withColumn("head", F.substring("anchor", 1, _HEAD)))
+    both = F.concat_ws(" ", title, description)
+    words = rows.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(both, F.lit(_RUN), F.lit(0)))).alias("word"))
+    # a head of one, two and three letters starts at every place of a word
+    heads = F.flatten(F.array(*[F.regexp_extract_all("word", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, _HEAD + 1)]))
+    holding = (words.select("word").distinct().select("word", F.explode(F.array_distinct(heads)).alias("head"))
+               .join(named, "head").where(F.col("word").contains(F.col("anchor"))).select("word", "named"))
+    found = (words.join(holding, "word").groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
+             .agg(F.array_sort(F.collect_set("named")).alias("_named")))  # at most the tables of the catalog
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    hit = F.filter("_named", lambda n: title.contains(n["name"]) | F.coalesce(description.contains(n["name"]), F.lit(False)))
+    out = (rows.join(found, same).withColumn("_hit", F.transform(hit, lambda n: n["shown"])).where(F.size("_hit") > 0)
+           .withColumn("associated_tables", F.array_join("_hit", ", ")).withColumn("table_name", F.get("_hit", F.lit(0)))
+           .drop("_named", "_hit", *[f"_{k}" for k in keys]))
+    return out.join(catalog, "table_name")
+
 # --- confidence -----------------------------------------------------------------------------
 
 def _clamp(c: Column) -> Column:
@@ -344,27 +369,27 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _greedy(ready: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pos) of the sets that are kept, and of those that are dropped, as far as the pairs settle it.
+def _greedy(ready: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pos, kept) of the sets that the pairs settle.
 
     A ready set without an open earlier neighbour is kept, and all its later
     neighbours are dropped; a dropped set blocks nobody.  Each round carries only
-    the ready sets and the pairs that are still open, until a round keeps nothing.
-    A neighbour that is not ready counts as open until it is dropped.
+    the pairs that are still open, until a round drops nothing.  A neighbour that is
+    not ready counts as open until it is dropped.
     """
-    kept, dropped = [], []
+    pairs = _checkpointed(pairs.join(ready.select(F.col("pos").alias("later"), F.lit(True).alias("ready")), "later", "left"))
+    free = ready.join(pairs.select(F.col("later").alias("pos")).distinct(), "pos", "left_anti")
+    settled = [free.select("pos", F.lit(True).alias("kept"))]
     while True:
-        free = _checkpointed(ready.join(pairs.select(F.col("later").alias("pos")).distinct(), "pos", "left_anti"))
-        if free.isEmpty():
-            break
-        beaten = _checkpointed(pairs.join(free.withColumnRenamed("pos", "earlier"), "earlier", "left_semi").select(F.col("later").alias("pos")).distinct())
-        kept.append(free)
-        dropped.append(beaten)
-        ready = _checkpointed(ready.join(free.unionByName(beaten), "pos", "left_anti"))
-        pairs = _checkpointed(pairs.join(beaten.withColumnRenamed("pos", "later"), "later", "left_anti")
-                              .join(beaten.withColumnRenamed("pos", "earlier"), "earlier", "left_anti"))
-    none = ready.limit(0)
-    return reduce(DataFrame.unionByName, kept, none), reduce(DataFrame.unionByName, dropped, none)
+        beaten = _checkpointed(pairs.join(free.select(F.col("pos").alias("earlier")), "earlier", "left_semi").select("later").distinct())
+        if beaten.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        left = _checkpointed(pairs.join(beaten, "later", "left_anti").join(beaten.withColumnRenamed("later", "earlier"), "earlier", "left_anti"))
+        # made from stored frames only, so the plan does not grow with the rounds
+        free = (pairs.where("ready").select("later").distinct().join(beaten, "later", "left_anti")
+                .join(left.select("later").distinct(), "later", "left_anti").select(F.col("later").alias("pos")))
+        pairs = left
+        settled += [beaten.select(F.col("later").alias("pos"), F.lit(False).alias("kept")), free.select("pos", F.lit(True).alias("kept"))]
 
 
 def deduplicate(rows: DataFrame, order: list[str], title: str = "title", threshold: float = 0.8,
@@ -389,11 +414,10 @@ def deduplicate(rows: DataFrame, order: list[str], title: str = "title", thresho
     winners = []
     while not heads.isEmpty():
         leaders = _checkpointed(earliest(heads, lead, hot))
-        pairs = _checkpointed(similar_pairs(leaders, heads, sets, threshold, hot))
         ready = leaders.groupBy("pos", "rows").count().where("count = rows").select("pos")
-        kept, dropped = _greedy(ready, pairs)
-        winners.append(kept)
-        heads = _checkpointed(heads.join(kept.unionByName(dropped), "pos", "left_anti"))
+        settled = _checkpointed(_greedy(ready, similar_pairs(leaders, heads, sets, threshold, hot)))
+        winners.append(settled.where("kept").select("pos"))
+        heads = _checkpointed(heads.join(settled.select("pos"), "pos", "left_anti"))
         lead *= 2
     kept = with_set.where(F.size("_set") == 0)  # an empty title is never similar to another
     if winners:

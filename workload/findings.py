@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakegauge.functions import vocab
 from lakegauge.operators import findings as fi
-from workload.common import lake, rounded, table, union_all
+from workload.common import TABLES, lake, rounded, table, union_all
 
 QUERIES, ORACLES = {}, {}
 
@@ -97,13 +97,13 @@ ORACLES["k6_categories"] = TITLED + f" select doc_id, stage, section, item, {CAT
 QUERIES["k7_priority"] = lambda s, d: fi.findings(docs(s, d)).select("doc_id", "stage", "section", "item", "severity", "business_impact", "priority")
 ORACLES["k7_priority"] = FOUND + " select doc_id, stage, section, item, severity, business_impact, priority from found"
 
-NAMES = ["customer", "documents", "events", "lineitem", "orders", "part"]
+NAMES = sorted(TABLES)
 
 
 def _mentions(s, d):
     from lakegauge.operators import catalog as ca
-    sizes = ca.lake_stats(lake(s, d, NAMES)).select("table_name", "row_count", "column_count")
-    return fi.mentions(titled(s, d), NAMES, sizes).select(
+    sizes = ca.lake_catalog(lake(s, d)).groupBy("table_name").agg(F.max("row_count").alias("row_count"), F.count("column_name").alias("column_count"))
+    return fi.mentions(titled(s, d), sizes).select(
         "doc_id", "section", "item", "associated_tables", "table_name", "row_count", "column_count")
 
 
