@@ -126,8 +126,40 @@ def test_mix_meets_targets(docs):
     for rows in by.values():
         assert abs(sum(r.taken for r in rows) - rows[0].target) < 1 and rows[0].source_size == sum(r["size"] for r in rows)
     assert abs(sum(rows[0].target for rows in by.values()) - 1.5 * total) < 1e-6
-    places = [r.position for r in mixing.in_training_order(mixing.mix(docs)).collect()]
-    assert places == sorted(places) and mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.in_training_order(mixing.mix(docs.limit(0))).count() == 0
+
+
+def test_positions_invert_the_schedules(docs):
+    got = mixing.mix(docs, weights=(3, 1, 2), budget_percent=170).collect()
+    assert any(len(r.passes) == 2 for r in got)
+    sources = sorted({r.source for r in got}, key=lambda x: (x is None, x))
+    for rank, source in enumerate(sources):
+        slope, before = mixing.SLOPES[rank % 3], 0
+        drawn = sorted((p["pass"], p.order, p.row, p.taken, p.position, r.target) for r in got if r.source == source for p in r.passes)
+        for _, _, _, taken, position, target in drawn:
+            low, high = 0.0, 1.0
+            for _ in range(60):  # the share of the demand that the schedule has met at u is u + slope * (u - u^2)
+                u = (low + high) / 2
+                low, high = (u, high) if u + slope * (u - u * u) < before / target else (low, u)
+            assert abs(position - low) < 1e-9
+            before += taken
+    mixed = mixing.mix(docs, budget_percent=170)
+    ordered = mixing.in_training_order(mixed).collect()
+    expected = sorted((p.position, p["rank"], p.order, p.row, p["pass"], r.doc_id, p.taken) for r in got for p in r.passes)
+    assert [(r.position, r["pass"], r.doc_id, r.taken) for r in ordered] == [(e[0], e[4], e[5], e[6]) for e in expected]
+
+
+def test_mix_with_clashing_names(docs, spark, tmp_path):
+    names = ["doc_id", "text", "source", "__row", "__order", "a.b", "c`d", "Size", "found", "pass"]
+    rows = [(*r, 1, 2, 3, 4, 5, 6, 7) for r in DOCS]
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "clash"))
+    clash = spark.read.parquet(str(tmp_path / "clash"))
+    mixed = mixing.mix(clash)
+    assert mixed.columns == [n for n in names if n != "Size"] + list(mixing.RESULTS)
+    assert {(r["__row"], r["__order"], r["a.b"], r["c`d"], r["found"]) for r in mixed.collect()} == {(1, 2, 3, 4, 6)}
+    ordered = mixing.in_training_order(mixed)
+    assert ordered.columns == [n for n in names if n not in ("Size", "pass")] + ["size", "source_size", "target", "taken", "position", "pass"]
+    assert ordered.count() == sum(len(r.passes) for r in mixed.collect())
 
 
 def test_fuzzy_passages(docs):
