@@ -165,6 +165,22 @@ def test_size_labels(spark):
     assert got == ["unknown", "1023.0 B", "1.0 KB", "1.5 KB", "1.0 GB", "2.0 PB", "unknown"]
 
 
+def test_size_labels_of_products_beyond_a_bigint(spark, tmp_path):
+    from workload import collect
+
+    for f in os.listdir("/root/testdata/sf0.001"):
+        if f != "orders.parquet":
+            os.symlink(f"/root/testdata/sf0.001/{f}", tmp_path / f)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    keys = spark.createDataFrame([(2, 3), (9_000_000, 900_000)], "k bigint, c bigint")
+    orders.limit(1).crossJoin(keys).withColumns({"o_orderkey": F.col("k"), "o_custkey": F.col("c")}).select(*orders.columns).write.parquet(str(tmp_path / "orders.parquet"))
+    df = collect()[0]["f15_size_label"](spark, str(tmp_path))
+    assert dict(df.dtypes)["size_bytes"] == "bigint"
+    got = {r["table_name"]: (r["size_bytes"], r["label"]) for r in df.collect()}
+    assert got["2"] == (24, "24.0 B")
+    assert got["9000000"] == (None, f"{9_000_000 ** 3 * 900_000 / 1024 ** 5:.1f} PB") and len(got) == 16
+
+
 def test_table_selection(spark):
     cat = catalog(spark, {t: (1, [("c", "int")]) for t in ["fact_a", "fact_b", "dim_a", "a.b"]})
     def names(x):

@@ -248,10 +248,13 @@ ORACLES["f14_business_context"] = WITH + SUFFIX_SQL + ", allcat as (select table
  union select 'flow', table_name || '.' || column_name || ' -> ' || likely_references, table_name from refs2)
  select kind, entry, count(*) as tables, cast(coalesce(sum(row_count), 0) as bigint) as row_count from behind left join size using (table_name) group by 1, 2"""
 
+# products beyond a bigint (from about 80,000 orders on) keep their exact label; their size has no bigint and is NULL
+_PLANTED_SIZE = "cast(o_orderkey as decimal(38,0)) * o_orderkey * o_orderkey * o_custkey"
 QUERIES["f15_size_label"] = lambda s, d: (ca.lake_stats(lake(s, d)).select("table_name", "size_bytes")
     .unionByName(table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("table_name"),
-                                              F.expr("cast(o_orderkey * o_orderkey * o_orderkey * o_custkey as bigint)").alias("size_bytes")))
-    .withColumn("label", cl.size_label(F.col("size_bytes"))))
+                                              F.expr(_PLANTED_SIZE).cast("decimal(38,0)").alias("size_bytes")))
+    .withColumn("label", cl.size_label(F.col("size_bytes")))
+    .withColumn("size_bytes", F.col("size_bytes").try_cast("bigint")))
 SIZE_CASE = "case when coalesce(b, 0) = 0 then 'unknown' " + " ".join(
     f"when b < {1024 ** (i + 1)} then format('{{:.1f}} {u}', b / {1024 ** i}.0)" for i, u in enumerate(vocab.SIZE_UNITS[:5])) + \
     f" else format('{{:.1f}} PB', b / {1024 ** 5}.0) end"
