@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakegauge.functions import vocab
 from lakegauge.functions.exprs import KEYS, clean, contains_any, quoted
-from lakegauge.operators.values import uniqueness, value_counts, cells
+from lakegauge.operators.values import table_counts, uniqueness
 from lakegauge.sources.readers import quote, session_tables
 
 
@@ -161,7 +161,7 @@ def registered_stats(spark: SparkSession, database: str = "default", selection:
 
 def column_stats(df: DataFrame, table: str, columns=None) -> DataFrame:
     """Total, non-NULL, distinct and NULL count with NULL share per column."""
-    return uniqueness(value_counts(cells(df, table, columns))).select(
+    return uniqueness(table_counts({table: df}, {table: columns})).select(
         *KEYS, "total_count", "non_null_count", F.col("unique_count").alias("distinct_count"),
         "null_count", "null_percentage")
 

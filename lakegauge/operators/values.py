@@ -1,8 +1,8 @@
 """Value frequencies: one distributed count per distinct value, reused by all
 distinct-value, length, pattern, top-value and key statistics.
 
-A table is unpivoted to ``(table_name, column_name, value)`` cells and counted.
-The count has a map-side partial step, so a value that fills a third of the
+Tables are unpivoted to cells and counted.  Numbers, dates and times are counted in their
+own type and become texts afterwards, once a distinct value.  The count has a map-side partial step, so a value that fills a third of the
 table reaches the shuffle once per task.  Texts longer than ``SHORT`` characters
 travel as an MD5 digest of the whole text together with their first characters and
 the length and pattern bits taken from the whole text, so a corpus is never shuffled
@@ -11,7 +11,9 @@ by its content.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lakegauge.functions import vocab
 from lakegauge.functions.exprs import KEYS, clean, fields_of, is_text, percent, quoted
@@ -62,33 +64,93 @@ def pattern_bits(value: Column) -> Column:
     return bits
 
 
+def _text_keys(value: Column, short: int) -> list[Column]:
+    long = F.length(value) > short
+    return [F.when(~long, value).alias("value"),
+            F.when(long, F.md5(value)).alias("digest"),
+            F.when(long, F.left(value, F.lit(short))).alias("head"),
+            F.when(long, F.length(value)).alias("long_length"),
+            F.when(long, pattern_bits(value)).alias("long_bits")]
+
+
+_TEXT_KEYS = ["value", "digest", "head", "long_length", "long_bits"]
+
+
+def _counted(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
+    # `held` tells present values from NULLs: a filter on it stays above the shuffle, which all statistics share
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("held"))
+
+
 def value_counts(cell_rows: DataFrame, short: int = SHORT) -> DataFrame:
-    """(table_name, column_name, value, digest, head, long_length, long_bits, n).
+    """(table_name, column_name, value, digest, head, long_length, long_bits, n, held).
 
     ``value`` is NULL for long texts, which are identified by ``digest``; both
     are NULL for SQL NULLs.  ``head`` (the first characters), ``long_length`` and
-    ``long_bits`` depend on the text alone, so they do not split groups.
+    ``long_bits`` depend on the text alone, so they do not split groups.  ``held`` is
+    ``n``, or 0 for SQL NULLs.
     """
-    value = F.col("value")
-    long = F.length(value) > short
-    return (cell_rows.select(
-        *KEYS,
-        F.when(~long, value).alias("value"),
-        F.when(long, F.md5(value)).alias("digest"),
-        F.when(long, F.left(value, F.lit(short))).alias("head"),
-        F.when(long, F.length(value)).alias("long_length"),
-        F.when(long, pattern_bits(value)).alias("long_bits"))
-        .groupBy(*KEYS, "value", "digest", "head", "long_length", "long_bits")
-        .agg(F.count(F.lit(1)).alias("n")))
+    rows = cell_rows.select(*KEYS, *_text_keys(F.col("value"), short))
+    return _counted(rows, [*KEYS, *_TEXT_KEYS], F.coalesce("value", "digest"))
+
+
+def _counted_as(kind: T.DataType) -> str | None:
+    """The type of fixed width in which values are equal exactly where their texts are; None for texts and others."""
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return "timestamp_ntz"  # the text of a timestamp is its local time
+    return kind.simpleString() if isinstance(kind, (T.FloatType, T.DoubleType, T.DateType, T.DecimalType)) else None
+
+
+def table_counts(tables: dict[str, DataFrame], columns: dict | None = None, short: int = SHORT) -> DataFrame:
+    """:func:`value_counts` of the cells of whole tables, or of some ``columns`` by table.
+
+    Cells carry the numbers of their table and column; those of a type of fixed width are counted in
+    that type, which is one shuffle a type, and cast to text where they are counted.
+    """
+    names, kinds, order = [], {}, list(tables)
+    for table, df in tables.items():
+        for f in fields_of(df, None if columns is None else columns.get(table)):
+            names.append((table, f.name))
+            kinds.setdefault(_counted_as(f.dataType), {}).setdefault(table, {})[str(len(names))] = f
+    if not names:
+        return value_counts(reduce(DataFrame.unionByName, [cells(df, table, []) for table, df in tables.items()]), short)
+    # never NULL: joins by name would send a test of it below the shuffle
+    named = lambda texts, i: F.coalesce(F.element_at(F.array(*map(F.lit, texts)), F.col(i)), F.lit(""))
+    keys = [named(order, "of").alias(KEYS[0]), named([n[1] for n in names], "id").alias(KEYS[1])]
+    out = []
+    for kind, held in kinds.items():
+        rows = [tables[t].select(*[clean(f).cast(kind or "string").alias(i) for i, f in fs.items()])
+                # the table as a constant, so that a filter on its name leaves the others out
+                .unpivot([], [quoted(i) for i in fs], "id", "v").select(F.lit(order.index(t) + 1).alias("of"), F.col("id").cast("int").alias("id"), "v")
+                for t, fs in held.items()]
+        rows = reduce(DataFrame.union, rows)
+        if kind is None:
+            texts = rows.select("of", "id", *_text_keys(F.col("v"), short))
+            out.append(_counted(texts, ["of", "id", *_TEXT_KEYS], F.coalesce("value", "digest")).select(*keys, *_TEXT_KEYS, "n", "held"))
+        else:
+            none = [F.lit(None).cast(t).alias(n) for n, t in [("digest", "string"), ("head", "string"), ("long_length", "int"), ("long_bits", "int")]]
+            out.append(_counted(rows, ["of", "id", "v"], F.col("v")).select(*keys, F.col("v").cast("string").alias("value"), *none, "n", "held"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def presence(df: DataFrame, table: str, columns=None) -> DataFrame:
+    """Rows, NULLs and present values per column: one wide aggregate, no value is shuffled or held."""
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.struct(
+        F.lit(f.name).alias("column_name"), F.count(clean(f)).alias("present")) for f in fields_of(df, columns)]).alias("columns"))
+    one = wide.select(F.lit(table).alias("table_name"), "rows", F.inline("columns"))
+    missing = F.col("rows") - F.col("present")
+    return one.select(*KEYS, F.col("rows").alias("total_count"), missing.alias("null_count"),
+                      F.coalesce(percent(missing, F.col("rows")), F.lit(0.0)).alias("null_percentage"), F.col("present").alias("non_null_count"))
 
 
 def present(counts: DataFrame) -> DataFrame:
-    return counts.where(F.col("value").isNotNull() | F.col("digest").isNotNull())
+    return counts.where(F.col("held") > 0)
 
 
 def uniqueness(counts: DataFrame) -> DataFrame:
     """Per column: rows, NULLs, distinct values and duplicates (NULLs left out)."""
-    here = F.col("value").isNotNull() | F.col("digest").isNotNull()
+    here = F.col("held") > 0
     base = counts.groupBy(*KEYS).agg(
         F.sum("n").alias("total_count"),
         F.coalesce(F.sum(F.when(~here, F.col("n"))), F.lit(0)).alias("null_count"),
@@ -130,7 +192,7 @@ def length_summary(lengths: DataFrame) -> DataFrame:
 def text_lengths(df: DataFrame, table: str, columns=None) -> DataFrame:
     """Length statistics of the string columns of one table."""
     names = [f.name for f in fields_of(df, columns, is_text)]
-    return length_summary(length_counts(value_counts(cells(df, table, names))))
+    return length_summary(length_counts(table_counts({table: df}, {table: names})))
 
 
 def _first(rows: DataFrame, n: Column, value: Column, limit: int, ties: bool = False) -> DataFrame:
@@ -149,11 +211,14 @@ def _ranked(counts: DataFrame, cell_rows: DataFrame | None, limit: int, most: bo
     usual ties, are cut to ``limit`` a task before any of them is shuffled.
     """
     n, value = (F.desc("n"), F.asc("order")) if most else (F.asc("n"), F.desc("order"))
-    candidates = _first(present(counts).withColumn("order", F.coalesce("value", "head")), n, value, limit, ties=True)
+    # short and long texts under one name, so that both branches below read the same columns and share the sort
+    named = present(counts).select(*KEYS, "n", F.coalesce("value", "head").alias("order"), F.coalesce("value", "digest").alias("text"),
+                                   F.col("digest").isNotNull().alias("long"))
+    candidates = _first(named, n, value, limit, ties=True)
     if cell_rows is None:
         return _first(candidates.withColumn("value", F.col("order")), n, value, limit).select(*KEYS, "rank", "value", "n")
-    short = candidates.where(F.col("value").isNotNull()).select(*KEYS, "n", "value")
-    long = candidates.where(F.col("digest").isNotNull()).select(*KEYS, "digest", "n")
+    short = candidates.where(~F.col("long")).select(*KEYS, "n", F.col("text").alias("value"))
+    long = candidates.where("long").select(*KEYS, F.col("text").alias("digest"), "n")
     texts = cell_rows.where(F.length("value") > SHORT).withColumn("digest", F.md5("value"))
     # no hint: as many digests as texts tie with equal first characters
     once = texts.join(long.where("n = 1"), [*KEYS, "digest"]).withColumn("order", F.col("value"))

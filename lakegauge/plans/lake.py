@@ -26,7 +26,7 @@ def union_tables(metric: Callable, tables: dict[str, DataFrame], **options) -> D
 def _basic(tables: dict[str, DataFrame]) -> DataFrame:
     """Counts and moments of every column; values and numbers of all tables share two
     shuffles, keyed by table and column."""
-    stats = va.uniqueness(va.value_counts(union_tables(va.cells, tables)))
+    stats = va.uniqueness(va.table_counts(tables))
     numeric = nu.moments(union_tables(nu.numbers, tables)).drop("non_null_count")
     return (stats.join(F.broadcast(numeric), KEYS, "left")  # proven bound: one row per column
             .withColumn("failed", F.lit(False)).withColumn("error", F.lit(None).cast("string")))

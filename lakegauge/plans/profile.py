@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from lakegauge.functions import vocab
-from lakegauge.functions.exprs import KEYS, clean, is_numeric, is_temporal, ordered_names, percent
+from lakegauge.functions.exprs import KEYS, is_numeric, is_temporal, ordered_names, percent
 from lakegauge.operators import anomalies as an, numeric as nu, patterns as pa, quality as qu
 from lakegauge.operators import temporal as te, values as va
 from lakegauge.operators.catalog import schema_rows
@@ -26,24 +26,14 @@ class Parts:
     presence: DataFrame
 
 
-def _presence(df: DataFrame, table: str, fields) -> DataFrame:
-    """Rows and present values per column: one wide aggregate, no value is shuffled."""
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.struct(
-        F.lit(f.name).alias("column_name"), F.count(clean(f)).alias("present")) for f in fields]).alias("columns"))
-    one = wide.select(F.lit(table).alias("table_name"), "rows", F.inline("columns"))
-    missing = F.col("rows") - F.col("present")
-    return one.select(*KEYS, F.col("rows").alias("total_count"), missing.alias("null_count"),
-                      F.coalesce(percent(missing, F.col("rows")), F.lit(0.0)).alias("null_percentage"), F.col("present").alias("non_null_count"))
-
-
 def parts_of(df: DataFrame, table: str, columns=None) -> Parts:
     fields = [f for f in df.schema.fields if columns is None or f.name in set(columns)]
     catalog = schema_rows({table: df})
     if columns is not None:
         catalog = catalog.where(F.col("column_name").isin([f.name for f in fields]))
     texts = [f.name for f in fields if not (is_numeric(f) or is_temporal(f))]  # may be long as text
-    return Parts(catalog, va.cells(df, table, texts), va.value_counts(va.cells(df, table, columns)),
-                 nu.numbers(df, table, columns), te.instants(df, table, columns), _presence(df, table, fields))
+    return Parts(catalog, va.cells(df, table, texts), va.table_counts({table: df}, {table: columns}),
+                 nu.numbers(df, table, columns), te.instants(df, table, columns), va.presence(df, table, columns))
 
 
 def union_parts(parts: list[Parts]) -> Parts:

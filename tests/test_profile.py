@@ -266,3 +266,30 @@ def test_catalog_statistics_are_used_where_a_table_has_them(spark, tmp_path):
         assert got["analysed"]["size_bytes"] > 0 and got["analysed"]["location"].endswith("/analysed")
     finally:
         spark.sql("DROP DATABASE stats_db CASCADE")
+
+
+def test_typed_counts_equal_text_counts(spark):
+    df = spark.sql("""select * from values (1, 1.5D, float(0.1), date'2024-01-01', timestamp'2024-01-01 00:00:00.25', 1.50BD, 'a', true),
+        (1, double('nan'), float('-0.0'), date'2024-01-01', timestamp'2024-01-01 00:00:00.25', 1.50BD, 'a', true),
+        (-7, -0.0D, float('0.0'), null, null, 2.00BD, repeat('x', 70), null), (null, 0.0D, null, null, null, null, null, false)
+        as t(i, d, f, day, ts, m, s, b)""")
+    names = ["table_name", "column_name", "value", "digest", "head", "long_length", "long_bits", "n", "held"]
+    got, want = va.table_counts({"t": df}), va.value_counts(va.cells(df, "t"))
+    assert sorted(map(str, got.select(names).collect())) == sorted(map(str, want.select(names).collect()))
+    assert {k: t for k, t in got.dtypes} == {k: t for k, t in want.dtypes}
+    some = va.table_counts({"t": df, "u": df}, {"t": ["i"], "u": ["s"]})
+    assert {(r[0], r[1]) for r in some.select("table_name", "column_name").distinct().collect()} == {("t", "i"), ("u", "s")}
+    assert va.table_counts({"t": df.limit(0)}).count() == 0
+
+
+def test_statistics_share_one_shuffle_of_native_values(spark):
+    counts = va.table_counts({"t": spark.range(100).select("id", (F.col("id") / 3).alias("d"))})
+    both = va.uniqueness(counts).select("column_name", "unique_count").unionByName(
+        va.length_summary(va.length_counts(counts)).select("column_name", F.col("distinct_lengths").alias("unique_count")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    made = [line for line in plan.splitlines() if "- Exchange hashpartitioning(" in line and "table_name" not in line]
+    assert len(made) == 2 and all(", v#" in line for line in made)  # one for the whole numbers, one for the doubles

@@ -53,8 +53,8 @@ def _length_sql(t, c):
   where sd > 1e-9 and abs(length({c}) - m) / sd > 2 group by 1)) having count(*) > 0"""
 
 
-QUERIES["d3_length_outliers"] = lambda s, d: _shown(an.length_outliers(va.length_counts(va.value_counts(
-    lk.union_tables(lambda df, n: va.cells(df, n, TEXT[n]), lake(s, d, TEXT)))))).drop("type", "description")
+QUERIES["d3_length_outliers"] = lambda s, d: _shown(an.length_outliers(va.length_counts(
+    va.table_counts(lake(s, d, TEXT), TEXT)))).drop("type", "description")
 ORACLES["d3_length_outliers"] = union_all(_length_sql(t, c) for t, cs in TEXT.items() for c in cs)
 
 # a copy of the events that keeps mostly Mondays, mornings and January, so that

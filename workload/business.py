@@ -18,7 +18,7 @@ DIM_TABLES = ["customers", "parts", "fact_lineitem", "orders", "user_events"]
 
 def _dimensions(s, d):
     tables = {t: df for t, df in star(s, d).items() if t in DIM_TABLES}
-    stats = va.uniqueness(va.value_counts(lk.union_tables(va.cells, tables)))
+    stats = va.uniqueness(va.table_counts(tables))
     return bu.dimension_columns(ca.lake_catalog(tables), stats)
 
 

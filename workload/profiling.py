@@ -20,15 +20,14 @@ def _numbers(s, d, names=tuple(NUM)):
 
 
 def _counts(s, d, names):
-    return va.value_counts(lk.union_tables(va.cells, lake(s, d, names)))
+    return va.table_counts(lake(s, d, names))
 
 
 def _num_sql(fields, cols=NUM):
     return per_column("select '{t}' as table_name, '{c}' as column_name, " + fields + " from {t}", cols)
 
 
-QUERIES["b1_nulls"] = lambda s, d: rounded(va.uniqueness(va.value_counts(va.cells(planted_customer(s, d), "customer")))
-                                           .select("table_name", "column_name", "total_count", "null_count", "null_percentage"))
+QUERIES["b1_nulls"] = lambda s, d: rounded(va.presence(planted_customer(s, d), "customer").select("table_name", "column_name", "total_count", "null_count", "null_percentage"))
 ORACLES["b1_nulls"] = f"with p as ({CUSTOMER_SQL}) " + union_all(
     f"""select 'customer' as table_name, '{c}' as column_name, count(*) as total_count, count(*) - count({c}) as null_count,
  round((count(*) - count({c})) / count(*) * 100, 4) as null_percentage from p""" for c in CUSTOMER_COLUMNS)
@@ -113,8 +112,8 @@ FREQ = {t: columns(t) for t in ["orders", "documents", "lineitem", "pages"]}
 
 
 def _freq(s, d, which):
-    cells = lk.union_tables(lambda df, n: va.cells(df, n, FREQ[n]), lake(s, d, FREQ))
-    counts = va.value_counts(cells)
+    cells = lk.union_tables(lambda df, n: va.cells(df, n, columns(n, {"string"})), lake(s, d, FREQ))  # only texts may be long
+    counts = va.table_counts(lake(s, d, FREQ), FREQ)
     return which(counts, va.uniqueness(counts), cells)
 
 
@@ -144,7 +143,7 @@ def _pattern_frames(s, d):
 
 
 def _pattern_counts(s, d):
-    return va.value_counts(lk.union_tables(lambda df, n: va.cells(df, n, PATTERN_COLS[n]), _pattern_frames(s, d)))
+    return va.table_counts(_pattern_frames(s, d), PATTERN_COLS)
 
 
 def _patterns(s, d):

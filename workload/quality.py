@@ -52,7 +52,7 @@ CHECKED_AS_INTEGER = ["num_text", "note"]
 
 def _issues(s, d):
     tables = {"customer": planted_customer(s, d), "documents": table(s, d, "documents"), "orders": table(s, d, "orders")}
-    counts = va.value_counts(lk.union_tables(va.cells, tables))
+    counts = va.table_counts(tables)
     texts = [c for _, (f, cs) in ISSUE_SRC.items() for c, k in cs.items() if k == "string"]
     lengths = va.length_summary(va.length_counts(counts.where(F.col("column_name").isin(texts))))
     bad = qu.non_integers(tables["customer"], "customer", CHECKED_AS_INTEGER)
