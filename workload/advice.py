@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakegauge.functions.exprs import fields_of, is_text
 from lakegauge.operators import catalog as ca, classify as cl, recommend as rc, relate as re, values as va
 from lakegauge.plans import lake as lk
 from workload.common import CUSTOMER_COLUMNS, CUSTOMER_SQL, TABLES, lake, planted_customer, table, union_all
@@ -58,9 +59,18 @@ STAT_SRC = {"customer": ("p", CUSTOMER_COLUMNS), "orders": ("orders", TABLES["or
             "lineitem": ("lineitem", TABLES["lineitem"])}
 
 
-def _stats(s, d):
-    tables = {"customer": planted_customer(s, d), **lake(s, d, ["orders", "documents", "lineitem"])}
-    stats = va.uniqueness(va.value_counts(lk.union_tables(va.cells, tables)))
+def _stat_tables(s, d):
+    return {"customer": planted_customer(s, d), **lake(s, d, ["orders", "documents", "lineitem"])}
+
+
+def _null_stats(s, d):
+    return lk.union_tables(va.presence, _stat_tables(s, d))
+
+
+def _text_stats(s, d):
+    """Distinct values of the text columns, the only ones that enumerations are proposed for."""
+    tables = _stat_tables(s, d)
+    stats = va.uniqueness(va.table_counts(tables, {t: [f.name for f in fields_of(df, None, is_text)] for t, df in tables.items()}))
     return stats.join(ca.lake_catalog(tables).select("table_name", "column_name", "data_type", "ordinal"), ["table_name", "column_name"])
 
 
@@ -70,12 +80,12 @@ STAT_SQL = f"with p as ({CUSTOMER_SQL}), st as (" + union_all(
 J3_SQL = _rec_sql("'High Null Values in ' || table_name || '.' || column_name", "data_quality", "medium",
                   "'Column ' || column_name || ' in ' || table_name || ' has ' || format('{:.1f}', (n - m) / n * 100) || '% null values.'", "medium",
                   "Improved data completeness and query reliability", 0.9, "st where (n - m) / n * 100 > 50", "column_name")
-QUERIES["j3_high_null"] = lambda s, d: rc.high_nulls(_stats(s, d)).select(*SHOWN)
+QUERIES["j3_high_null"] = lambda s, d: rc.high_nulls(_null_stats(s, d)).select(*SHOWN)
 ORACLES["j3_high_null"] = STAT_SQL + " " + J3_SQL
 J4_SQL = _rec_sql("'Consider Enum/Category for ' || table_name || '.' || column_name", "data_type_optimization", "low",
                   "'Column ' || column_name || ' has only ' || u || ' unique values, consider using enum or category type.'", "low",
                   "Reduced storage and improved performance", 0.7, "st where kind = 'string' and u / n < 0.1 and u < 20", "column_name")
-QUERIES["j4_enum"] = lambda s, d: rc.enum_candidates(_stats(s, d)).select(*SHOWN)
+QUERIES["j4_enum"] = lambda s, d: rc.enum_candidates(_text_stats(s, d)).select(*SHOWN)
 ORACLES["j4_enum"] = STAT_SQL + " " + J4_SQL
 
 ROWS_LIMIT = 10_000
@@ -112,8 +122,7 @@ ORACLES["j8_dimension"] = WITH + CONN_SQL + f", r as ({J8_SQL}) select r.*, (sel
 
 
 def _all(s, d):
-    stats = _stats(s, d)
-    return rc.together(rc.high_nulls(stats), rc.enum_candidates(stats),
+    return rc.together(rc.high_nulls(_null_stats(s, d)), rc.enum_candidates(_text_stats(s, d)),
                        rc.partition_large_tables(ca.lake_stats(lake(s, d)), ROWS_LIMIT),
                        rc.columnar_format(ca.lake_stats(lake(s, d)), 1_000_000))
 
