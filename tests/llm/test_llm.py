@@ -207,6 +207,29 @@ def test_fuzzy_passages_are_all_found(spark, tmp_path):
         assert min(len(a), len(b)) > 50 and r.n_matched == lcs(a, b) and r.percent == 100 * r.n_matched // max(len(a), len(b)) >= 80
 
 
+def test_passages_of_members_that_only_met_a_leader(spark, tmp_path, monkeypatch):
+    """Each two of a group of near copies, also where other documents come first in some of their lists; copies once."""
+    rnd = random.Random(3)
+    core = [f"k{i}" for i in range(80)]
+    texts = [[f"a{d}x{i}" for i in range(30)] + [w if i % 20 != d else f"q{d}x{i}" for i, w in enumerate(core)] for d in range(5)]
+    texts += [core[:12] + [f"b{i}" for i in range(60)], texts[2]]
+    half = [f"h{i}" for i in range(55)]  # a first holder of some of the seeds that the two after it share
+    texts += [half[:30] + [f"c{i}" for i in range(40)], half + [f"d{i}" for i in range(20)], [f"e{rnd.random()}" for _ in range(9)] + half]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    want = {(a, b) for a in range(5) for b in range(a + 1, 5)} | {(2, 6), (8, 9)}
+    for meetings in (passages.MEETINGS, 500):  # one round and several
+        monkeypatch.setattr(passages, "MEETINGS", meetings)
+        assert sorted((r.other_id, r.doc_id) for r in passages.shared_passages(table).collect()) == sorted(want)
+
+
+def test_passage_beside_a_denser_short_stretch():
+    dense = [(i, i) for i in range(49)]
+    sparse = [(1000 + i, 1000 + i) for i in range(60) if i % 5 != 4 or i == 59]
+    found = passages.stretch(passages.np.array(dense + sparse), 50, 80)
+    assert found is not None and (found[0], found[1]) == (49, 49 + len(sparse) - 1)
+
+
 def test_suffix_dedup_equals_brute_force(spark, docs):
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r["kept"])).hexdigest())
                               for r in suffixes.remove_repeats(docs).collect())
