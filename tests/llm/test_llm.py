@@ -149,6 +149,20 @@ def test_positions_invert_the_schedules(docs):
     assert [(r.position, r["pass"], r.doc_id, r.taken) for r in ordered] == [(e[0], e[4], e[5], e[6]) for e in expected]
 
 
+def test_progress_is_the_fraction_of_all_words(spark, tmp_path):
+    """Sources of unlike slopes and targets: the words taken before a document are its progress, which its position is not."""
+    rows = [(i, f"w{i} x y z", "abc"[0 if i % 10 < 7 else 1 + i % 2]) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "d"))
+    got = mixing.mix(spark.read.parquet(str(tmp_path / "d")), weights=(8, 1, 1), slopes=(0.9, 0.0, -0.2)).collect()
+    passes = sorted((p.position, p["rank"], p.order, p.row, p["pass"], p.taken, p.progress) for r in got for p in r.passes)
+    total, before, away = sum(p[5] for p in passes), 0, 0.0
+    for p in passes:
+        assert abs(p[6] - before / total) < 0.005
+        away = max(away, abs(p[0] - before / total))
+        before += p[5]
+    assert away > 0.05
+
+
 def test_mix_with_clashing_names(docs, spark, tmp_path):
     names = ["doc_id", "text", "source", "__row", "__order", "a.b", "c`d", "Size", "found", "pass"]
     rows = [(*r, 1, 2, 3, 4, 5, 6, 7) for r in DOCS]
