@@ -291,3 +291,50 @@ def test_suffix_tree_base_and_mass(docs):
     want = sorted(round(sum(log10((counts[w] + 0.1) / below) for w in [*(t or "").lower().split(), "\n"]), 6) for _, t, _ in DOCS)
     assert sorted(round(r.base_score, 6) for r in got) == want
     assert sum(r.score for r in got) >= sum(r.base_score for r in got)  # learnt contexts help on the whole
+
+
+def plain_tree_scores(docs, held):
+    """The tree of suffix_tree.py by plain loops over all contexts."""
+    from math import log, log10
+    texts = [[*t.lower().split(), "\n"] for t in docs]
+    grams = [collections.Counter(tuple(t[i:i + d]) for t, h in zip(texts, held) if not h for i in range(len(t) - d + 1)) for d in range(5)]
+    n, vocabulary = sum(grams[1].values()), len(grams[1])
+    root = lambda w: (grams[1][(w,)] + 0.1) / (n + 0.1 * (vocabulary + 1))
+    kept, p = {}, {}
+
+    def probability(c, w):
+        while c and c not in kept:
+            c = c[1:]
+        if not c:
+            return root(w)
+        return p[c + (w,)] if c + (w,) in p else kept[c] * probability(c[1:], w)
+
+    for d in (1, 2, 3):
+        by = collections.defaultdict(list)
+        for g, k in grams[d + 1].items():
+            if k >= 8:
+                by[g[:-1]].append((g[-1], k))
+        for c, symbols in by.items():
+            q, total = [probability(c[1:], w) for w, _ in symbols], grams[d][c]
+            known, rest = min(sum(q), 1 - 1e-9), total - sum(k for _, k in symbols)
+            gain = sum(k * log(k / total / x) for (_, k), x in zip(symbols, q)) + (rest * log(rest / total / (1 - known)) if rest else 0)
+            if gain > 4 * (len(symbols) + 1):
+                kept[c] = (rest + 20 * (1 - known)) / ((total + 20) * (1 - known))
+                p.update({c + (w,): (k + 20 * x) / (total + 20) for (w, k), x in zip(symbols, q)})
+    assert len(kept) > 20
+    return [sum(log10(probability(tuple(t[max(i - 3, 0):i]), t[i])) for i in range(len(t))) for t in texts]
+
+
+def test_suffix_tree_equals_plain_loops_whatever_is_broadcast(spark):
+    r = random.Random(5)
+    phrases = [[r.choice(WORDS[:60]) for _ in range(r.randint(2, 5))] for _ in range(25)]
+    texts = [" ".join(w for _ in range(r.randint(0, 40)) for w in (r.choice(phrases) if r.random() < 0.8 else [r.choice(WORDS)])) for _ in range(150)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for cached in (1_000_000, 100, 10, 0):  # all of the tree, parts of it, and nothing but the end token is broadcast
+        got = {r.doc_id: r for r in suffix_tree.score_documents(frame, "doc_id", "text", 3, cached).collect()}
+        want = plain_tree_scores(texts, [got[i].held_out for i in range(len(texts))])
+        assert [round(got[i].score, 6) for i in range(len(texts))] == [round(x, 6) for x in want]
+
+
+def test_suffix_tree_empty_table(spark):
+    assert suffix_tree.score_documents(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
