@@ -10,11 +10,15 @@ from lakegauge.operators.values import length_summary
 
 
 def _fold(flagged: DataFrame, kind: str, text: str, examples: int) -> DataFrame:
-    """Count the flagged rows per column and keep a few extreme examples.
+    """Count the flagged rows per column and keep a few extreme examples (none, if 0 are wanted).
 
     ``flagged`` holds distinct outlying values with counts; the rank filter is
     planned as a group limit before the shuffle, so no column is gathered.
     """
+    if not examples:
+        totals = flagged.groupBy(*KEYS).agg(F.sum("n").alias("count"), F.max("size").alias("size"))
+        return totals.select(*KEYS, F.lit(kind).alias("type"), "count", percent(F.col("count"), F.col("size")).alias("percentage"),
+                             F.lit(text).alias("description"), F.lit(None).cast("array<double>").alias("examples"))
     counted = flagged.groupBy(*KEYS, "v", "size", "distance").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(*KEYS).orderBy(F.desc("distance"), F.asc("v"))
     best = (counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= examples)
@@ -74,7 +78,7 @@ def numeric_outliers(number_rows: DataFrame, profile: DataFrame, threshold: floa
                      examples: int = 5) -> DataFrame:
     """Z-score and interquartile outliers of profiled columns in one scan.
 
-    ``profile`` comes from ``numeric_profile``.
+    ``profile`` comes from ``numeric_profile``.  Without examples (0) outliers are only counted: no value is shuffled.
     """
     reach = (F.col("q3") - F.col("q1")) * factor
     bounds = profile.select(*KEYS, "mean", "std_pop", F.col("non_null_count").alias("size"),
@@ -87,20 +91,27 @@ def numeric_outliers(number_rows: DataFrame, profile: DataFrame, threshold: floa
         F.when(beyond > 0, F.struct(F.lit("i").alias("kind"), beyond.alias("distance")))))
     flagged = (number_rows.join(F.broadcast(bounds), KEYS)  # proven bound: one row per column
                .where((z > threshold) | (beyond > 0)).select(*KEYS, "v", "size", F.inline(hits)))
-    counted = flagged.groupBy(*KEYS, "kind", "v", "size", "distance").agg(F.count(F.lit(1)).alias("n"))
     group = [*KEYS, "kind"]
+    if not examples:
+        return _described(flagged.groupBy(*group).agg(F.count(F.lit(1)).alias("count"), F.max("size").alias("size"))
+                          .withColumn("examples", F.lit(None).cast("array<double>")), threshold, factor)
+    counted = flagged.groupBy(*KEYS, "kind", "v", "size", "distance").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*group).orderBy(F.desc("distance"), F.asc("v"))
     best = (counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= examples)
             .groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda s: s["v"]).alias("examples")))
     totals = counted.groupBy(*group).agg(F.sum("n").alias("count"), F.max("size").alias("size"))
+    return _described(totals.join(F.broadcast(best), group), threshold, factor)  # proven bound: two rows per column
+
+
+def _described(found: DataFrame, threshold: float, factor: float) -> DataFrame:
     by_z = F.col("kind") == "z"
-    return (totals.join(F.broadcast(best), group)  # proven bound: two rows per column
-            .select(*KEYS, F.when(by_z, "statistical_outliers").otherwise("iqr_outliers").alias("type"), "count",
-                    percent(F.col("count"), F.col("size")).alias("percentage"),
-                    F.when(by_z, f"Values with Z-score > {threshold:g}")
-                    .otherwise(f"Values outside {factor:g}*IQR from quartiles").alias("description"), "examples"))
+    return found.select(
+        *KEYS, F.when(by_z, "statistical_outliers").otherwise("iqr_outliers").alias("type"), "count",
+        percent(F.col("count"), F.col("size")).alias("percentage"),
+        F.when(by_z, f"Values with Z-score > {threshold:g}")
+        .otherwise(f"Values outside {factor:g}*IQR from quartiles").alias("description"), "examples")
 
 
-def all_anomalies(number_rows: DataFrame, profile: DataFrame, lengths: DataFrame) -> DataFrame:
+def all_anomalies(number_rows: DataFrame, profile: DataFrame, lengths: DataFrame, examples: int = 5) -> DataFrame:
     """All three kinds, one row per column and kind that occurs."""
-    return numeric_outliers(number_rows, profile).unionByName(length_outliers(lengths))
+    return numeric_outliers(number_rows, profile, examples=examples).unionByName(length_outliers(lengths, examples=examples))

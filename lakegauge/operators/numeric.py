@@ -67,7 +67,7 @@ def quantiles(number_rows: DataFrame, probs: dict[str, float], exact: bool = Tru
         names, ps = list(probs), list(probs.values())
         got = number_rows.groupBy(*KEYS).agg(F.percentile_approx("v", ps, accuracy).alias("q"))
         return got.select(*KEYS, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
-    return _with_quantiles(number_rows, None, probs, accuracy).select(*KEYS, *probs, *(["non_null_count"] if with_size else []))
+    return _with_quantiles(number_rows, ["non_null_count"], probs, accuracy).select(*KEYS, *probs, *(["non_null_count"] if with_size else []))
 
 
 _SPANS = "table_name string, column_name string, id int, lows array<double>, highs array<double>, befores array<bigint>, ranks array<array<bigint>>"
@@ -129,17 +129,19 @@ def _ranked_values(number_rows: DataFrame, columns: dict[tuple, tuple]) -> dict[
     return found
 
 
-def _with_quantiles(number_rows: DataFrame, stats: DataFrame | None, probs: dict[str, float], accuracy: int) -> DataFrame:
-    """``stats`` (one row per column; by default its ``non_null_count``) and exact quantiles, as a frame of known rows."""
+def _with_quantiles(number_rows: DataFrame, stats: DataFrame | list[str], probs: dict[str, float], accuracy: int) -> DataFrame:
+    """``stats`` and exact quantiles, as a frame of known rows.  ``stats`` has one row per column, or names the moments, with
+    ``non_null_count``, that are taken in the scan for the cuts."""
     ps, sharp = list(probs.values()), min(accuracy, CUTS)
+    taken = stats if isinstance(stats, list) else []
     first = number_rows.groupBy(*KEYS).agg(
-        F.count("v").alias("non_null_count"), F.percentile_approx("v", _edges(ps, sharp), sharp).alias("edge"),
+        *[_MOMENTS[m]("v").alias(m) for m in taken], F.percentile_approx("v", _edges(ps, sharp), sharp).alias("edge"),
         F.min("v").alias("low"), F.max("v").alias("high"))
     got = first.collect()  # one row per column
     cuts = {(r["table_name"], r["column_name"]): sorted([r["low"], *r["edge"], r["high"]]) for r in got}
-    if stats is None:
-        stats = first.select(*KEYS, "non_null_count")
-        rows = [Row(table_name=r["table_name"], column_name=r["column_name"], non_null_count=r["non_null_count"]) for r in got]
+    if taken:
+        stats = first.select(*KEYS, *taken)
+        rows = [Row(**{c: r[c] for c in [*KEYS, *taken]}) for r in got]
     else:
         rows = stats.collect()
     at = lambda r: [p * (r["non_null_count"] - 1) for p in ps]
@@ -156,13 +158,16 @@ def _with_quantiles(number_rows: DataFrame, stats: DataFrame | None, probs: dict
     return number_rows.sparkSession.createDataFrame(out, schema)
 
 
-def numeric_profile(number_rows: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+def numeric_profile(number_rows: DataFrame, exact: bool = True, accuracy: int = 10_000, fields=None) -> DataFrame:
     """Moments and all seven quantiles per column; when exact, moments are one scan of compiled code, cuts another one,
-    and the rounds of :func:`quantiles` follow."""
-    probs = {**QUARTILES, **PERCENTILES}
-    if exact:
-        return _with_quantiles(number_rows, moments(number_rows), probs, accuracy)
+    and the rounds of :func:`quantiles` follow.
+
+    With ``fields`` only ``non_null_count``, those moments and those quantiles, the moments in the scan for the cuts."""
+    probs = {n: p for n, p in {**QUARTILES, **PERCENTILES}.items() if fields is None or n in fields}
+    names = [m for m in _MOMENTS if fields is None or m in fields or m == "non_null_count"]
+    if exact and probs:
+        return _with_quantiles(number_rows, moments(number_rows) if fields is None else names, probs, accuracy)
     first = number_rows.groupBy(*KEYS).agg(
-        *[f("v").alias(name) for name, f in _MOMENTS.items()],
-        F.percentile_approx("v", list(probs.values()), accuracy).alias("edge"))
+        *[_MOMENTS[m]("v").alias(m) for m in names],
+        *([F.percentile_approx("v", list(probs.values()), accuracy).alias("edge")] if probs else []))
     return first.select("*", *[F.col("edge")[i].alias(n) for i, n in enumerate(probs)]).drop("edge")

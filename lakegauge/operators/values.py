@@ -148,13 +148,27 @@ def present(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("held") > 0)
 
 
+def by_length(counts: DataFrame) -> DataFrame:
+    """(table_name, column_name, length, n, distinct): rows and distinct values per text length, the length of NULLs being -1.
+
+    Whoever reads this reads every column of it, so that one plan holds it once: the counts are
+    summed once, however many statistics stand on them.  The length is never NULL for the same reason.
+    """
+    return (counts.withColumn("length", F.coalesce("long_length", F.length("value"), F.lit(-1)))
+            .groupBy(*KEYS, "length").agg(F.sum("n").alias("n"), F.count_if(F.col("held") > 0).alias("distinct")))
+
+
 def uniqueness(counts: DataFrame) -> DataFrame:
-    """Per column: rows, NULLs, distinct values and duplicates (NULLs left out)."""
-    here = F.col("held") > 0
-    base = counts.groupBy(*KEYS).agg(
+    """Per column: rows, NULLs, distinct values and duplicates (NULLs left out); no value becomes a text."""
+    return uniqueness_of(counts.select(*KEYS, "n", (F.col("held") > 0).cast("bigint").alias("distinct")))
+
+
+def uniqueness_of(lengths: DataFrame) -> DataFrame:
+    """:func:`uniqueness` from rows of :func:`by_length`, where lengths are wanted beside it."""
+    base = lengths.groupBy(*KEYS).agg(
         F.sum("n").alias("total_count"),
-        F.coalesce(F.sum(F.when(~here, F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count_if(here).alias("unique_count"))
+        F.coalesce(F.sum(F.when(F.col("distinct") == 0, F.col("n"))), F.lit(0)).alias("null_count"),
+        F.sum("distinct").alias("unique_count"))
     non_null = F.col("total_count") - F.col("null_count")
     return base.select(
         *KEYS, "total_count", "null_count",
@@ -166,9 +180,12 @@ def uniqueness(counts: DataFrame) -> DataFrame:
 
 def length_counts(counts: DataFrame) -> DataFrame:
     """(table_name, column_name, length, n): rows per text length."""
-    return (present(counts)
-            .withColumn("length", F.coalesce("long_length", F.length("value")))
-            .groupBy(*KEYS, "length").agg(F.sum("n").alias("n")))
+    return lengths_of(by_length(counts))
+
+
+def lengths_of(lengths: DataFrame) -> DataFrame:
+    """:func:`length_counts` from rows of :func:`by_length`."""
+    return lengths.where(F.col("distinct") > 0).select(*KEYS, "length", "n")
 
 
 def length_summary(lengths: DataFrame) -> DataFrame:

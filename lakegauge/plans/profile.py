@@ -82,6 +82,10 @@ FRAME_OF = {**dict.fromkeys(["ordinal", "data_type"], "catalog"), **dict.fromkey
             **dict.fromkeys(["start_date", "end_date", "range_days", "range_description"], "dates")}
 
 
+#: numeric statistics that outliers are judged by
+OUTLIER_FIELDS = ["mean", "std_pop", "q1", "q3"]
+
+
 def frames_for(fields) -> set[str]:
     """The metric frames that the wanted profile fields need; presence alone is counted without a shuffle of values."""
     need = {"catalog"}
@@ -99,18 +103,22 @@ def profile_parts(p: Parts, exact: bool = True, lists: bool = True, fields=None)
     split it in two.
     """
     need = set(ONE + MANY) - {"presence"} - (set() if lists else {"top", "least"}) if fields is None else frames_for(fields)
-    numeric = nu.numeric_profile(p.numbers, exact) if need & {"numeric", "anomaly"} else None
-    length_rows = va.length_counts(p.counts)
+    # outliers need these; the examples among them only the field that shows them
+    parts = None if fields is None else {*fields, *(OUTLIER_FIELDS if "anomaly" in need else ())}
+    numeric = nu.numeric_profile(p.numbers, exact, fields=parts) if need & {"numeric", "anomaly"} else None
+    examples = 5 if fields is None or "anomalies" in fields else 0
+    summed = va.by_length(p.counts)
+    length_rows = va.lengths_of(summed)
     build = {
         "catalog": lambda: p.catalog.select(*KEYS, "ordinal", "data_type"),
         "presence": lambda: p.presence,
-        "stats": lambda: va.uniqueness(p.counts),
+        "stats": lambda: va.uniqueness_of(summed) if need & {"lengths", "anomaly"} else va.uniqueness(p.counts),
         "numeric": lambda: numeric.drop("non_null_count", "std_pop"),
         "lengths": lambda: va.length_summary(length_rows).select(*KEYS, "min_length", "max_length", "avg_length", "format_consistency"),
         "dates": lambda: te.date_range(p.instants),
         "temporal": lambda: te.temporal_variation(p.instants).where("is_pattern").select(*KEYS, F.col("kind").alias("type"), "description"),
         "pattern": lambda: pa.common_patterns(pa.pattern_sums(p.counts)).select(*KEYS, "pattern", "matches", "percentage", "description"),
-        "anomaly": lambda: an.all_anomalies(p.numbers, numeric, length_rows),
+        "anomaly": lambda: an.all_anomalies(p.numbers, numeric, length_rows, examples),
         "top": lambda: va.most_frequent(p.counts, p.text_cells),
         "least": lambda: va.least_frequent(p.counts, p.text_cells)}
     frames = {n: make() for n, make in build.items() if n in need}
@@ -162,12 +170,20 @@ TABLE_NEEDS = {
 
 def table_metrics(p: Parts, fields: list[str], exact: bool = True) -> DataFrame:
     """Chosen fields of :func:`table_profile`, with only the column statistics that they need."""
-    wanted = sorted({c for f in fields for c in TABLE_NEEDS[f]})
-    profile = profile_parts(p, exact, False, wanted)
+    return table_fields(profile_parts(p, exact, False, column_fields(fields)), fields)
+
+
+def column_fields(fields: list[str]) -> list[str]:
+    """The profile fields behind table fields."""
+    return sorted({c for f in fields for c in TABLE_NEEDS[f]})
+
+
+def table_fields(profile: DataFrame, fields: list[str]) -> DataFrame:
+    """Chosen fields of :func:`table_profile` from a profile that has the :func:`column_fields` behind them."""
     every = {c for needs in TABLE_NEEDS.values() for c in needs}
     kinds = {"total_count": "bigint", "ordinal": "int", "potential_key": "boolean", "data_classification": "string"}
     # fields that nobody asked for are NULL and leave the plan with the columns built on them
-    padded = profile.select("*", *[F.lit(None).cast(kinds.get(c, "double")).alias(c) for c in sorted(every - set(wanted))])
+    padded = profile.select("*", *[F.lit(None).cast(kinds.get(c, "double")).alias(c) for c in sorted(every - set(profile.columns))])
     return table_profile(padded).select("table_name", *fields)
 
 

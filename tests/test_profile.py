@@ -120,6 +120,33 @@ def test_metrics_on_demand_equal_the_whole_profile(spark):
     assert pr.profile_parts(pr.parts_of(df.limit(0), "t"), fields=["null_percentage"]).count() == 4
 
 
+def test_outliers_without_examples_are_only_counted(spark):
+    values = numbers(spark, [1.0] * 50 + [2.0] * 50 + [99.0, -99.0, 99.0])
+    lengths = spark.createDataFrame([("t", "x", n, 30) for n in (3, 4)] + [("t", "x", 90, 1)], "table_name string, column_name string, length int, n bigint")
+    profile = nu.numeric_profile(values, fields=pr.OUTLIER_FIELDS)
+    assert profile.columns == ["table_name", "column_name", "non_null_count", "mean", "std_pop", "q1", "q3"]
+    whole = nu.numeric_profile(values).select(profile.columns)
+    assert profile.collect() == whole.collect()
+    shown, counted = an.all_anomalies(values, whole, lengths), an.all_anomalies(values, profile, lengths, examples=0)
+    same = lambda df: sorted(df.drop("examples").collect())
+    assert same(shown) == same(counted) and len(same(counted)) == 3
+    assert "Window" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lengths_and_distinct_values_share_one_sum(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "bb"), (2, None), (None, "bb"), (3, "z" * 70), (3, "z" * 70)], "k int, s string")
+    counts = va.table_counts({"t": df})
+    summed = va.by_length(counts)
+    assert {(r["column_name"], r["length"]): (r["n"], r["distinct"]) for r in summed.collect()} == {
+        ("k", 1): (5, 3), ("k", -1): (1, 0), ("s", 1): (1, 1), ("s", 2): (2, 1), ("s", 70): (2, 1), ("s", -1): (1, 0)}
+    both = [va.uniqueness_of(summed).select("column_name", (F.col("null_count") + F.col("unique_count")).alias("x")), va.lengths_of(summed).select("column_name", F.col("n").alias("x"))]
+    together = both[0].union(both[1])
+    together.collect()
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
+    assert sorted(va.uniqueness(counts).collect()) == sorted(va.uniqueness_of(summed).collect())
+
+
 def test_patterns_and_flags(spark):
     rows = [("a@b.co", "555-123-4567", "2024-01-02", "12", "https://x.y/z", i) for i in range(6)] + [("x", "y", "n", "z", "w", 9)] * 4
     df = spark.createDataFrame(rows, "contact string, p string, d string, n string, u string, v int")
