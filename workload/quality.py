@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakegauge.functions import vocab
 from lakegauge.operators import catalog as ca, classify as cl, quality as qu, values as va
 from lakegauge.plans import lake as lk, profile as pr
+from lakegauge.sources.work import written
 from workload.common import (
     CUSTOMER_COLUMNS, CUSTOMER_SQL, NUMERIC, TABLES, columns, lake, planted_customer, rounded, table, union_all)
 from workload.profiling import _hit, tokens_sql
@@ -185,8 +186,10 @@ ORACLES["e12_overall_quality"] = TABLE_SQL + """ select table_name, round(overal
 
 
 def _rollup(s, d):
-    p = profiles(s, d)
-    return qu.quality_rollup(pr.table_profile(p), p)
+    fields = ["completeness_score", "overall_quality_score"]
+    # read twice, one row per column: written, so that it is profiled once
+    p = written(pr.profile_parts(parts(s, d), lists=False, fields=pr.column_fields(fields)), "profile")
+    return qu.quality_rollup(pr.table_fields(p, fields), p)
 
 
 QUERIES["e13_quality_rollup"] = lambda s, d: rounded(_rollup(s, d))
