@@ -167,7 +167,8 @@ TABLE_SQL = PROFILE_SQL + """, t as (select table_name, max(total_count) as tota
  coalesce(string_agg(column_name, ', ' order by ordinal) filter (potential_key and unique_percentage > 95), '') as potential_keys,
  coalesce(string_agg(column_name, ', ' order by ordinal) filter (column_name like '%\\_id' escape '\\' and unique_percentage <= 95), '') as potential_foreign_keys,
  string_agg(column_name, ', ' order by ordinal) filter (quality_score < 0.7) as low_quality from c group by 1)"""
-QUERIES["b16_table_profile"] = lambda s, d: rounded(pr.table_profile(profiles(s, d)).drop("recommended_partitioning", "table_level_issues"))
+QUERIES["b16_table_profile"] = lambda s, d: rounded(pr.table_metrics(parts(s, d), [
+    f for f in pr.TABLE_NEEDS if f not in ("recommended_partitioning", "table_level_issues")]))
 ORACLES["b16_table_profile"] = TABLE_SQL + """ select table_name, total_rows, total_columns, round(completeness_score, 4) as completeness_score,
  round(consistency_score, 4) as consistency_score, round(overall_quality_score, 4) as overall_quality_score, potential_keys, potential_foreign_keys,
  concat_ws(', ', nullif(potential_keys, ''), nullif(potential_foreign_keys, '')) as recommended_indexing from t"""
