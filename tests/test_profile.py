@@ -120,6 +120,16 @@ def test_metrics_on_demand_equal_the_whole_profile(spark):
     assert pr.profile_parts(pr.parts_of(df.limit(0), "t"), fields=["null_percentage"]).count() == 4
 
 
+def test_table_queries_profile_once_and_only_what_they_show(spark, monkeypatch):
+    from workload import quality
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 2))], "s string, day timestamp_ntz")
+    monkeypatch.setattr(quality, "parts", lambda s, d: pr.parts_of(df, "t"))
+    plan = lambda q: quality.QUERIES[q](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan("e13_quality_rollup")  # reads the profile of its columns, written once
+    for q in ("b16_table_profile", "e9_profile_column_score"):
+        assert "hour(" not in plan(q) and "md5" in plan(q)  # values are counted, calendar patterns are not asked for
+
+
 def test_outliers_without_examples_are_only_counted(spark):
     values = numbers(spark, [1.0] * 50 + [2.0] * 50 + [99.0, -99.0, 99.0])
     lengths = spark.createDataFrame([("t", "x", n, 30) for n in (3, 4)] + [("t", "x", 90, 1)], "table_name string, column_name string, length int, n bigint")

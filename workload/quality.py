@@ -174,7 +174,7 @@ ORACLES["b16_table_profile"] = TABLE_SQL + """ select table_name, total_rows, to
  concat_ws(', ', nullif(potential_keys, ''), nullif(potential_foreign_keys, '')) as recommended_indexing from t"""
 QUERIES["b17_profile_record"] = lambda s, d: pr.profile_record(pr.column_profile(table(s, d, "events"), "events"))
 
-QUERIES["e9_profile_column_score"] = lambda s, d: rounded(profiles(s, d).select("table_name", "column_name", "quality_score"))
+QUERIES["e9_profile_column_score"] = lambda s, d: rounded(pr.profile_parts(parts(s, d), lists=False, fields=["quality_score"]))
 ORACLES["e9_profile_column_score"] = PROFILE_SQL + " select table_name, column_name, round(quality_score, 4) as quality_score from c"
 QUERIES["e10_completeness"] = lambda s, d: rounded(pr.table_metrics(parts(s, d), ["completeness_score"]))
 ORACLES["e10_completeness"] = TABLE_SQL + " select table_name, round(completeness_score, 4) as completeness_score from t"
