@@ -176,6 +176,23 @@ def test_mix_with_clashing_names(docs, spark, tmp_path):
     assert ordered.count() == sum(len(r.passes) for r in mixed.collect())
 
 
+def test_op5_runs_the_whole_mix_in_training_order(docs, spark, tmp_path):
+    """All passes of a document with what each takes of its text, one row a document, also for those that no pass takes."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op5_mix_sources(spark, str(tmp_path)).collect()
+    whole = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    take = lambda r, n: r.text if n == r["size"] else " ".join(r.text.split()[:n])
+    key = lambda x: tuple((v is None, v) for v in x[:6])
+    want = sorted(((r.doc_id, r["size"], r.source_size, r.target, r.taken, r.position,
+                    [(p["pass"], p.taken, p.position, p.progress, sha(take(r, p.taken))) for p in r.passes]) for r in whole), key=key)
+    assert sorted(((*r[:6], [tuple(p) for p in r.passes]) for r in got), key=key) == want
+    assert any(len(w[6]) == 2 for w in want) and any(not w[6] for w in want)
+    assert any(p[1] < w[1] for w in want for p in w[6])  # one that a pass ends in
+    plan = mixing.op5_mix_sources(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "text" in plan.split("RepartitionByExpression")[0]
+
+
 def test_fuzzy_passages(docs):
     found = {(r.doc_id, r.other_id) for r in passages.shared_passages(docs).collect()}
     assert (8, 1) in found or (8, None) in found
