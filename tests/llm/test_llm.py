@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from lakegauge.llm import chat, cleaning, decontaminate, mixing, near, passages, personal, suffix_tree, suffixes, warc
 
@@ -277,6 +278,24 @@ def test_suffix_dedup_equals_brute_force(spark, docs):
     assert got == want
 
 
+def test_suffix_dedup_works_in_bounded_batches(spark, docs, monkeypatch):
+    """However long a text or a task's share is, no batch of positions is larger than twice the limit, and the result is the same."""
+    data = [(g, bytes(random.Random(g).choices(b"abc", k=n))) for g, n in enumerate((5000, 300, 200, 700))]
+    whole = pa.RecordBatch.from_pydict({"g": [g for g, _ in data], "data": [b for _, b in data]})
+    rows = lambda: [tuple(r.values()) for b in suffixes.gathered(suffixes.samples([whole], 3, True), [*"giabc"]) for r in b.to_pylist()]
+    at_once = rows()
+    want = [(g, i, *(int.from_bytes(b[i + d:i + d + 3], "big") for d in (0, 3, 6))) for g, b in data for i in range(len(b) - 8) if i % 3]
+    assert sorted(at_once) == sorted(want)
+    monkeypatch.setattr(suffixes, "POSITIONS", 64)
+    assert sorted(rows()) == sorted(want)
+    sizes = [b.num_rows for b in suffixes.gathered(suffixes.samples([whole], 3, True), [*"giabc"])]
+    assert max(sizes) <= 128 and sum(sizes) == len(want)
+    named = pa.RecordBatch.from_pydict({"g": [0], "n": [1], "data": [data[0][1]], "places": [[i for i in range(4920) if i % 3]], "names": [[i for i in range(4920) if i % 3]]})
+    sizes = [b.num_rows for b in suffixes.gathered(suffixes.key_rows([named], 200, 81), [*"gin", "edge", *"abc"])]
+    assert max(sizes) <= 128 and sum(sizes) == 2 * 4801
+    assert suffixes.runs_of(suffixes.np.array([405, 0, 200, 9]), 200) == [{"start": 0, "end": 400}, {"start": 405, "end": 605}]
+
+
 def test_chat_folds_and_reads_back(spark):
     hard = r"\### Assistant: </turn> ok" + "\\"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", "hi" * 3000), (1, 1, "assistant", hard), (2, 0, None, None), (None, 0, "a:\nb", "x")]
