@@ -255,6 +255,39 @@ def test_passages_of_members_that_only_met_a_leader(spark, tmp_path, monkeypatch
         assert sorted((r.other_id, r.doc_id) for r in passages.shared_passages(table).collect()) == sorted(want)
 
 
+def plain_common(a, b):
+    """Places of a longest common subsequence by a table of all suffixes."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i, j, out = 0, 0, []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_common_words_and_close_pairs_equal_plain_loops():
+    r = random.Random(11)
+    for _ in range(400):
+        a, b = ([r.choice("abcdefgh"[:r.randint(1, 8)]) for _ in range(r.randint(0, 70))] for _ in range(2))
+        assert passages.common(a, b) == plain_common(a, b)
+        assert passages.may_go_on(a, b) or not any(2 * i > max(u, v) for i, (u, v) in enumerate(plain_common(a, b), 1))
+    pairs = [[(r.randrange(200), r.randrange(200), r.randint(1, 3)) for _ in range(r.randint(1, 9))] for _ in range(300)]
+    struct = pa.list_(pa.struct([(f, pa.int64()) for f in ("place", "other_place", "w")]))
+    m = pa.array([[dict(zip(("place", "other_place", "w"), x)) for x in p] for p in pairs], struct)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(range(300)), m], names=["row", "other", "m"])
+    near = [i for i, p in enumerate(pairs) if any(sum(w for y, _, w in p if x <= y < x + 51) >= 6 for x, _, _ in p)]
+    got = [i for part in (batch.slice(0, 100), batch.slice(100)) for b in passages.close([part]) for i in b.column(0).to_pylist()]
+    assert got == near and 0 < len(near) < 300
+
+
 def test_passage_beside_a_denser_short_stretch():
     dense = [(i, i) for i in range(49)]
     sparse = [(1000 + i, 1000 + i) for i in range(60) if i % 5 != 4 or i == 59]
