@@ -1,10 +1,12 @@
 import collections
 import hashlib
 import random
+import time
 
 import pyarrow as pa
 import pytest
 from lakegauge.llm import chat, cleaning, decontaminate, mixing, near, passages, personal, suffix_tree, suffixes, warc
+from lakegauge.sources import work
 
 WORDS = [f"w{i}" for i in range(400)]
 LONG = " ".join(WORDS[:120])
@@ -405,5 +407,34 @@ def test_suffix_tree_equals_plain_loops_whatever_is_broadcast(spark):
         assert [round(got[i].score, 6) for i in range(len(texts))] == [round(x, 6) for x in want]
 
 
+def test_frequent_tops_equal_plain_counts(spark):
+    """First 32 bits at the ends of the parts, of which at least eight numbers share them, over several tasks."""
+    r = random.Random(9)
+    tops = [0, 1, (1 << 16) - 1, 1 << 16, (1 << 22) - 1, 1 << 22, (1 << 31) + 5, (1 << 32) - 1, *(r.getrandbits(32) for _ in range(300))]
+    rows = [[(r.choice(tops) << 32) | r.getrandbits(32) for _ in range(r.randint(0, 60))] for _ in range(60)]
+    counts = collections.Counter(k >> 32 for x in rows for k in x)
+    frame = spark.createDataFrame([(bytearray(b"".join(k.to_bytes(8, "little") for k in x)),) for x in rows], "x binary").repartition(3)
+    got = sorted(b.b & 0xFFFFFFFF for b in suffix_tree.frequent_tops(frame, lambda x, at: x).collect())
+    assert got == sorted(b for b, n in counts.items() if n >= 8) and 0 < len(got) < len(tops)
+
+
+def test_shuffles_of_frames_let_go_are_deleted(spark):
+    def files():
+        folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return folder.getAllBlocks().size()
+
+    work.freed(spark)
+    time.sleep(1)
+    before = files()
+    spark.range(1000).repartition(7).groupBy("id").count().write.format("noop").mode("overwrite").save()
+    held = files()
+    assert held > before
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        work.freed(spark)
+        time.sleep(0.5)
+    assert files() <= before
+
+
 def test_suffix_tree_empty_table(spark):
     assert suffix_tree.score_documents(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
